@@ -34,6 +34,7 @@ from sufloom.llm.common import components, cut, semi_join_ids
 from sufloom.llm.wordhash import mix, shingle_sets
 
 SKETCH_WORDS = 16  # 1024 bits
+FINE_SAMPLES, FINE_WORDS = 1024, 64  # of the sketches that bucket blocks are compared by
 
 
 def minhash(sets: list[np.ndarray], samples: int) -> np.ndarray:
@@ -64,9 +65,12 @@ def odd_sketch(values: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
 
 
 def sketch_cut(similarity: float, samples: int, words: int = SKETCH_WORDS, sigmas: float = 5.0) -> int:
-    """Largest population count of two sketches' XOR at which a pair may still reach the similarity."""
-    low = similarity - sigmas * math.sqrt(similarity * (1 - similarity) / samples + 1e-4)
-    bits = words * 64
+    """Largest population count of two sketches' XOR at which a pair may still reach the similarity: so many standard
+    deviations of the MinHash sample and of the parity bitmap below it."""
+    bits, apart = words * 64, 2 * samples * (1 - similarity)
+    decay = math.exp(-2 * apart / bits)
+    parity = max(bits / 4 * (1 - decay**2) - apart * decay**2, 0) / (decay * 2 * samples) ** 2
+    low = similarity - sigmas * math.sqrt(similarity * (1 - similarity) / samples + parity)
     return math.ceil(bits / 2 * (1 - math.exp(-2 * (2 * samples * (1 - max(low, 0.0))) / bits)))
 
 
@@ -125,6 +129,23 @@ def full_sets(docs: DataFrame, width: int = 2) -> DataFrame:
     return out.select(F.struct("doc_id", "h1").alias("node"), "hashes").dropDuplicates(["node"])
 
 
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """node and an odd sketch of FINE_SAMPLES MinHash values of its set."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                lens = part.column("hashes").value_lengths().to_numpy(zero_copy_only=False)
+                flat = part.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                sketches = odd_sketch(minhash(np.split(flat, np.cumsum(lens)[:-1]), FINE_SAMPLES), FINE_WORDS).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lens) + 1, dtype=np.int32) * FINE_WORDS), pa.array(sketches.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h1"), lists], names=["doc_id", "h1", "fine"])
+
+    out = sets.select("node.doc_id", "node.h1", "hashes").mapInArrow(run, "doc_id long, h1 long, fine array<long>")
+    return out.select(F.struct("doc_id", "h1").alias("node"), "fine")
+
+
 def close(a: Column, b: Column, most: int) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= most
 
@@ -139,18 +160,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def rest_of_buckets(members: DataFrame, most: int, block_rows: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members other than its hub whose components differ and whose sketches are close.
+    """Pairs (a, b) of the given members of buckets whose components differ and whose sketches are close.
 
-    members: key, band, n (bucket size), hub, node, label, sketch, bands. A bucket of more than block_rows members is
+    members: key, band, n (bucket size), node, label, fine (sketch), bands. A bucket of more than block_rows members is
     dealt out as pairs of blocks, so no task holds more than two blocks of a bucket.
     """
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.where("node <> hub").withColumn("blocks", blocks).withColumn("own", own)
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-        F.col("node.doc_id").alias("doc_id"), F.col("node.h1").alias("h1"), F.xxhash64("label").alias("label"), "sketch", "bands",
+        F.col("node.doc_id").alias("doc_id"), F.col("node.h1").alias("h1"), F.xxhash64("label").alias("label"), "fine", "bands",
     )
     parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -161,7 +182,7 @@ def rest_of_buckets(members: DataFrame, most: int, block_rows: int) -> DataFrame
         if n < 2 or (label == label[0]).all():
             return None
         i, j, band = block["i"][0].as_py(), block["j"][0].as_py(), block["band"][0].as_py()
-        sketch = block["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
+        sketch = block["fine"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
         bands = block["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)
         mine, theirs = (np.arange(n), np.arange(n)) if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
         left, right = [], []
@@ -225,8 +246,11 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     labelled = members.where("n > 2").join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = cut(labelled, "labelled")
     mixed = labelled.where("node <> hub").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = labelled.join(mixed, "key").join(classes.select("node", "sketch", "bands"), "node")
-    more = confirmed(cut(rest_of_buckets(rest, most, block_rows), "rest"), sets, percent)
+    rest = cut(labelled.join(mixed, "key").where("node <> hub"), "mixed")
+    fine = cut(fine_sketches(sets.join(rest.select("node").distinct(), "node", "left_semi")), "fine")
+    rest = rest.join(classes.select("node", "bands").join(fine, "node"), "node")
+    near = rest_of_buckets(rest, sketch_cut(percent / 100, FINE_SAMPLES, FINE_WORDS), block_rows)
+    more = confirmed(cut(near, "rest"), sets, percent)
     links = first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
     final = components(links).select("node", F.col("label.doc_id").alias("component_id"))
 

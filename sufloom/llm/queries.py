@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sufloom.llm import op1
+from sufloom.llm import op1, op8, op9
 
-MODULES = (op1,)
+MODULES = (op1, op8, op9)
 
 
 def queries() -> dict:
