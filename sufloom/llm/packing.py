@@ -69,11 +69,11 @@ def greedy(left: dict[int, int], capacity: int) -> list[Pattern]:
     return out
 
 
-def first_basis(demand: dict[int, float], capacity: int) -> list[dict[int, int]]:
+def first_basis(demand: dict[int, float], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """A packing of fractional counts, longest first: each pattern runs until it has used up a length, which later
-    patterns lack. So the patterns, one for each length, form a triangular basis of the linear program."""
+    patterns lack. So the pairs (length used up, pattern), one for each length, form a triangular basis of the linear program."""
     left = dict(demand)
-    out: list[dict[int, int]] = []
+    out: list[tuple[int, dict[int, int]]] = []
     while left:
         room, taken = capacity, {}
         for l in sorted(left, reverse=True):
@@ -84,12 +84,12 @@ def first_basis(demand: dict[int, float], capacity: int) -> list[dict[int, int]]
         times = left[spent] / taken[spent]
         for l, k in taken.items():
             left[l] -= k * times
-        out.append(taken)
+        out.append((spent, taken))
         gone = [l for l in taken if left[l] <= 1e-9]
         for l in gone:
             del left[l]
             if l != spent:
-                out.append({l: capacity // l})
+                out.append((l, {l: capacity // l}))
         left.pop(spent, None)
     return out
 
@@ -107,14 +107,16 @@ def solve_patterns(histogram: dict[int, int], capacity: int, gap: float = 0.0002
         return []
     at = {l: i for i, l in enumerate(lengths)}
     demand = np.array([histogram[l] for l in lengths], float)
-    area = float(demand @ np.array(lengths)) / capacity  # no packing takes fewer sequences
-    columns = first_basis({l: float(n) for l, n in histogram.items()}, capacity)
-    full = np.zeros((m, m))
-    for i, c in enumerate(columns):
-        for l, n in c.items():
-            full[at[l], i] = n
-    inverse = np.linalg.inv(full)
-    x = np.maximum(inverse @ demand, 0)
+    area = float((demand * lengths).sum()) / capacity  # no packing takes fewer sequences
+    basis = first_basis({l: float(n) for l, n in histogram.items()}, capacity)
+    columns = [c for _, c in basis]
+    inverse, rest = np.zeros((m, m)), np.eye(m)
+    for j, (spent, c) in enumerate(basis):  # forward substitution down the triangle
+        inverse[j] = rest[at[spent]] / c[spent]
+        for l, k in c.items():
+            if l != spent:
+                rest[at[l]] -= k * inverse[j]
+    x = np.maximum((inverse * demand).sum(axis=1), 0)
     for _ in range(max_rounds):
         prices = np.full(capacity + 1, -1.0)
         prices[lengths] = inverse.sum(axis=0)
@@ -122,10 +124,7 @@ def solve_patterns(histogram: dict[int, int], capacity: int, gap: float = 0.0002
         bound = max(area, x.sum() / max(value, 1.0))
         if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
             break
-        a = np.zeros(m)
-        for l, k in pattern.items():
-            a[at[l]] = k
-        step = inverse @ a
+        step = sum(inverse[:, at[l]] * k for l, k in pattern.items())
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         r = int(ratio.argmin())
         row = inverse[r] / step[r]
