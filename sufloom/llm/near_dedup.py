@@ -34,7 +34,7 @@ from sufloom.llm.common import components, cut, semi_join_ids
 from sufloom.llm.wordhash import mix, shingle_sets
 
 SKETCH_WORDS = 16  # 1024 bits
-FINE_SAMPLES, FINE_WORDS = 1024, 64  # of the sketches that bucket blocks are compared by
+FINE_SAMPLES, FINE_WORDS = 2048, 128  # of the sketches that bucket blocks are compared by
 
 
 def minhash(sets: list[np.ndarray], samples: int) -> np.ndarray:
