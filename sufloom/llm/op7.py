@@ -1,0 +1,22 @@
+"""op7: toxicity of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sufloom.llm.toxicity import score_toxicity
+
+NAME = "op7_toxicity"
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return score_toxicity(docs, labels.select("doc_id", F.col("toxic").alias("label")), held_out())
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

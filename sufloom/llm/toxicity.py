@@ -160,7 +160,7 @@ class WordValues:
         self._room = remember
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """For each text, of its distinct words: the log of the positive values' total, the two greatest values, and the total's log times the log of the words' number."""
+        """For each text, of its distinct words: the two greatest values, and the log of the positive values' total for each 200 words."""
         known = self._known
         tokens = [set(tokens_of(t)) for t in texts]
         fresh = list({t for doc in tokens for t in doc if t not in known})
@@ -173,15 +173,15 @@ class WordValues:
             for t in fresh[: max(0, self._room - len(known))]:
                 known[t] = late[t]
         get = known.get
-        out = np.zeros((len(texts), 4))
+        out = np.zeros((len(texts), 3))
         for i, doc in enumerate(tokens):
             if doc:
                 v = [x for t, x in zip(doc, map(get, doc)) if x is None or x > 0]
                 if None in v:
                     v = [x for t in doc if (x := late[t] if (y := get(t)) is None else y) > 0]
                 v.sort()
-                total = np.log1p(sum(v))
-                out[i] = total, v[-1] if v else 0, v[-2] if len(v) > 1 else 0, total * np.log(len(doc)) / 5
+                total = sum(v)
+                out[i] = v[-1] if v else 0, v[-2] if len(v) > 1 else 0, np.log1p(total / (1 + len(doc) / 200))
         return out
 
 
@@ -241,7 +241,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, per_cla
     def labelled(batches):
         return evidence(batches, lambda part, x: pa.RecordBatch.from_arrays([part.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"]))
 
-    rows = sample.mapInArrow(labelled, "label int, x array<double>").collect()  # at most 2 * per_class rows of four numbers
+    rows = sample.mapInArrow(labelled, "label int, x array<double>").collect()  # at most 2 * per_class rows of three numbers
     curve = fit_logistic(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float))
 
     def score(batches):
