@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sufloom.llm.common import cut
 from sufloom.llm.token_output import texts_of
-from sufloom.llm.tokenize import SegmentEncoder
+from sufloom.llm.tokenize import encoder as encoder_of
 
 Pattern = tuple[dict[int, int], int]  # pieces of each length, number of sequences
 
@@ -152,7 +152,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, w
     def run(batches):
         from pyspark import TaskContext
 
-        part, encoder, end = TaskContext.get().partitionId(), SegmentEncoder(tokenizer), array("I", [end_id]).tobytes()
+        part, encoder, end = TaskContext.get().partitionId(), encoder_of(tokenizer), array("I", [end_id]).tobytes()
         ranks = np.zeros(capacity + 1, np.int64)
         width = 4 * capacity
         for batch in batches:

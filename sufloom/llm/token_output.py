@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sufloom.llm.common import prefix_offsets
-from sufloom.llm.tokenize import SegmentEncoder
+from sufloom.llm.tokenize import encoder as encoder_of
 
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
 
@@ -38,7 +38,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_gr
     def encode(batches):
         from pyspark import TaskContext
 
-        shard, before, encoder, end = TaskContext.get().partitionId(), 0, SegmentEncoder(tokenizer), array("I", [end_id]).tobytes()
+        shard, before, encoder, end = TaskContext.get().partitionId(), 0, encoder_of(tokenizer), array("I", [end_id]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 from array import array
@@ -16,7 +17,7 @@ class SegmentEncoder:
 
     A byte-level BPE first splits a text so that a space before a non-space character always begins a new part, and
     encodes the parts one by one. So a text is cut before such spaces; a segment's ids come from the library's own
-    pre-tokenizer and model and are remembered, for the first `remember` segments and parts that a task meets. Texts in
+    pre-tokenizer and model and are remembered, for the first `remember` segments and parts met. Texts in
     which an added token's string occurs, or a space before white space or the end, are encoded whole.
     """
 
@@ -72,3 +73,9 @@ class SegmentEncoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         return [self.encode(t) for t in texts]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> SegmentEncoder:
+    """One encoder for each Python process, so that later tasks find the words of earlier ones."""
+    return SegmentEncoder(path)
