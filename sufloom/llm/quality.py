@@ -134,11 +134,16 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.prior, -700, 700)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, held_out: Column, to_pooled: float = 0.1, to_diagonal: float = 0.05, prior: float | None = None) -> DataFrame:
+def train(own: DataFrame, labels: DataFrame, held_out: Column, to_pooled: float = 0.1, to_diagonal: float = 0.05, prior: float | None = None) -> Discriminant:
+    """The model of features `own` (doc_id, x) and labels (doc_id, label 0 or 1); held_out: of doc_id."""
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    return Discriminant(moments(own.where(~held_out).join(labelled, "doc_id").select("label", "x")), to_pooled, to_diagonal, prior)
+
+
+def classify(docs: DataFrame, labels: DataFrame, held_out: Column, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs. labels: doc_id and label (0 or 1); held_out: of doc_id."""
     own = cut(features(docs), "quality-features")
-    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("label in (0, 1)")
-    model = Discriminant(moments(own.where(~held_out).join(labelled, "doc_id").select("label", "x")), to_pooled, to_diagonal, prior)
+    model = train(own, labels, held_out, **options)
     d = len(FEATURES)
 
     def run(batches):
@@ -148,3 +153,15 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, to_pooled: fl
 
     scored = own.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, **options) -> DataFrame:
+    """The rows of docs with a score of at least 0.5, in their own columns; the texts are not shuffled."""
+    model = train(cut(features(docs), "quality-features"), labels, held_out, **options)
+
+    def run(batches):
+        for batch in batches:
+            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ Words are compared by the subsequences of three characters within a window of `S
 `DECAY` a character (word ends count as characters). So a word matches an insult through inserted characters, gaps and
 other endings; letters set apart by spaces are read as one word. The kernel of two words is the normalised inner product
 to the power `POWER`; that of two sentences is its sum over their words. The Nyström map to `landmarks` words makes the
-machine linear, so each word has one value, computed once for each distinct word that a task meets.
+machine linear, so each word has one value, computed once for each distinct word.
 
 Training: of the labelled rows, `per_class` documents of either label with the least hashes (a stated bound; the counts
 come from Spark jobs over them); landmarks are words that `least_lift` times as large a share of the toxic documents hold, and the ordinary words most like those; the
@@ -152,7 +152,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 
 class WordValues:
-    """The machine's value of each token, remembered for the first `remember` tokens that a task meets."""
+    """The machine's value of each token, remembered for the first `remember` tokens met."""
 
     def __init__(self, landmarks: Landmarks, values: np.ndarray, remember: int = 500_000):
         self.landmarks, self.values = landmarks, values
@@ -185,15 +185,37 @@ class WordValues:
         return out
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = 2000, landmarks: int = 128, per_document: int = 3, least_lift: float = 4.0) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs. labels: doc_id and label (0 or 1); held_out: of doc_id."""
+class Scorer:
+    """Landmarks, word values and logistic curve: all that a task needs to score texts."""
+
+    def __init__(self, words: list[str], values: np.ndarray, curve: np.ndarray | None = None):
+        self.words, self.values, self.curve = words, values, curve
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        key = (tuple(self.words), self.values.tobytes())
+        if key not in _IN_PROCESS:  # one for each Python process, so that later tasks find the words of earlier ones
+            _IN_PROCESS.clear()
+            _IN_PROCESS[key] = WordValues(Landmarks(self.words), self.values)
+        own = _IN_PROCESS[key]
+        return np.concatenate([np.zeros((0, 3)), *(own.evidence(texts[at : at + 500]) for at in range(0, len(texts), 500))])
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        x = self.evidence(texts)
+        s = 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", x, self.curve[:-1]) + self.curve[-1], -500, 500)))
+        return np.where(x.any(axis=1), s, 0.0)
+
+
+_IN_PROCESS: dict = {}
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = 2000, landmarks: int = 128, per_document: int = 3, least_lift: float = 4.0) -> Scorer | None:
+    """The scorer, or None where the labelled rows teach nothing. labels: doc_id and label (0 or 1); held_out: of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out)
     chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     sample = cut(texts_of(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("text", "label"), "toxicity-sample")
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    none_found = texts_of(docs).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     if not (counts.get(0) and counts.get(1)):
-        return none_found
+        return None
 
     def words_of(batches):
         for batch in batches:
@@ -208,7 +230,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, per_cla
     ordinary = [r["word"] for r in met.where(F.col("lift") < least_lift / 2).orderBy(F.desc("clean"), "word").limit(20_000).collect()]
     words = landmark_words(insults, ordinary, landmarks)
     if not words:
-        return none_found
+        return None
     marks = Landmarks(words)
 
     def best_sentences(batches):
@@ -231,25 +253,39 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, per_cla
     weights = fit_machine(np.einsum("ij,jk->ik", k, whiten), y)[:-1]
     values = np.einsum("ij,j->i", whiten, weights)
 
-    def evidence(batches, out):
-        own = WordValues(marks, values)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield out(part, own.evidence(part.column("text").to_pylist()))
+    unfinished = Scorer(words, values)
 
     def labelled(batches):
-        return evidence(batches, lambda part, x: pa.RecordBatch.from_arrays([part.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"]))
+        for batch in batches:
+            x = unfinished.evidence(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"])
 
     rows = sample.mapInArrow(labelled, "label int, x array<double>").collect()  # at most 2 * per_class rows of three numbers
-    curve = fit_logistic(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float))
+    return Scorer(words, values, fit_logistic(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)))
 
-    def score(batches):
-        def out(part, x):
-            s = 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", x, curve[:-1]) + curve[-1], -500, 500)))
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.where(x.any(axis=1), s, 0.0))], names=["doc_id", "score"])
 
-        return evidence(batches, out)
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of docs. labels: doc_id and label (0 or 1); held_out: of doc_id."""
+    scorer = train(docs, labels, held_out, **options)
 
-    scored = texts_of(docs).mapInArrow(score, "doc_id long, score double")
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            scores = scorer.score(texts) if scorer else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
+
+    scored = texts_of(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, held_out: Column, **options) -> DataFrame:
+    """The rows of docs with a score under 0.5, in their own columns; the texts are not shuffled."""
+    scorer = train(docs, labels, held_out, **options)
+    if scorer is None:
+        return docs
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.score(batch.column("text").to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
