@@ -1 +1 @@
-
+"""Column expressions over DNA texts."""

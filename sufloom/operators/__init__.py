@@ -1 +1 @@
-
+"""Suffix arrays, index tables and pattern search."""

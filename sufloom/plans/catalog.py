@@ -1,6 +1,395 @@
-"""All queries on suffix arrays and index tables, by name, with the SQL for each."""
+"""All queries on suffix arrays and index tables, by name, with the SQL for each.
+
+Texts are the given tables' own: documents, conversations, part names, page addresses. Large results come back as one
+checksum row for each text.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sufloom.functions import codec
+from sufloom.operators import index, search, suffixes
+from sufloom.sources import files
+from sufloom.sources.scratch import materialize, new_path
+
+PATTERNS = ["CA", "TAC", "GCA", "CAAG", "ACAT", "TTTTTTTT", "GATTACA", "AAAAAAAAAAAA"]
+SHORT = ["C", "CA", "TAC", "GCA", "CAAG"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), codec.normalize_dna(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations")
+    return t.select((F.col("conv_id") * 100000 + F.col("turn")).alias("seq_id"), codec.normalize_dna(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("text"))
+
+
+def patterns(spark: SparkSession, words: list[str]) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(i).alias("pattern_id"), F.lit(w).alias("pattern")) for i, w in enumerate(words)))
+    return spark.range(1).select(F.explode(rows).alias("x")).select("x.pattern_id", "x.pattern")
+
+
+def array_of(texts: DataFrame, k: int | None = 32) -> DataFrame:
+    return suffixes.suffix_array(suffixes.suffixes(texts, k))
+
+
+def checksum(sa: DataFrame) -> DataFrame:
+    """One row a text: n, and a sum in which each rank weighs its position."""
+    return sa.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum((F.col("r") + 1) * F.col("pos") % 1000003).alias("checksum"))
+
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL parts -------------------------------------------------------------------------------------------------------
+
+DNA = "regexp_replace(replace(translate(coalesce(text, ''), 'acgt', 'ACGT'), chr(10), ''), '[^ACGT]', 'A', 'g')"
+SQL_DOCS = f"texts AS (SELECT doc_id AS seq_id, {DNA} AS text FROM documents)"
+SQL_TURNS = f"texts AS (SELECT conv_id * 100000 + turn AS seq_id, {DNA} AS text FROM conversations)"
+SQL_PARTS = "texts AS (SELECT p_partkey AS seq_id, p_name AS text FROM part)"
+
+
+def sql_suffixes(k: int) -> str:
+    return f"""
+chunks AS (
+  SELECT seq_id, length(text) AS n, u.c * 256 AS start, substr(text, u.c * 256 + 1, {256 + k}) AS piece,
+         CASE WHEN u.c > 0 THEN substr(text, u.c * 256, 1) END AS before
+  FROM texts, unnest(range(0, length(text) // 256 + 1)) AS u(c)),
+suffixes AS (
+  SELECT seq_id, start + v.i AS pos, substr(piece, v.i + 1, {k}) AS p,
+         CASE WHEN v.i > 0 THEN substr(piece, v.i, 1) ELSE before END AS bwt
+  FROM chunks, unnest(range(0, least(256, n - start + 1))) AS v(i))"""
+
+
+SQL_SA = "sa AS (SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY p, pos) - 1 AS r, pos, p, bwt FROM suffixes)"
+SQL_SUM = "SELECT seq_id, count(*) AS n, CAST(sum((r + 1) * pos % 1000003) AS BIGINT) AS checksum FROM sa GROUP BY seq_id"
+
+
+def sql_patterns(words: list[str]) -> str:
+    return "patterns(pattern_id, pattern) AS (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(words)) + ")"
+
+
+def with_sa(texts: str, rest: str, k: int = 32, *more: str) -> str:
+    return "WITH " + ", ".join([texts, sql_suffixes(k).strip(), SQL_SA, *more]) + "\n" + rest
+
+
+SQL_HITS = "hits AS (SELECT q.pattern_id, q.pattern, sa.seq_id, sa.r, sa.pos FROM patterns q JOIN sa ON starts_with(sa.p, q.pattern))"
+
+# --- Texts and codes -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SQL_DOCS} SELECT seq_id, length(text) AS n, md5(text) AS digest FROM texts")
+def normalize_dna(spark, sf_dir):
+    return documents(spark, sf_dir).select("seq_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
+@query(
+    f"""WITH {SQL_TURNS}, cut AS (SELECT seq_id, substr(text, 1, 20) AS s FROM texts),
+    keyed AS (SELECT seq_id, s, CAST(coalesce(list_sum(list_transform(range(1, length(s) + 1), lambda i: (instr('ACGT', substr(s, i, 1)) - 1) * CAST(pow(4, length(s) - i) AS BIGINT))), 0) AS BIGINT) AS key FROM cut)
+    SELECT seq_id, key, s AS back FROM keyed"""
+)
+def codec_hash_roundtrip(spark, sf_dir):
+    cut = turns(spark, sf_dir).select("seq_id", F.substring("text", 1, 20).alias("s"))
+    keyed = cut.select("seq_id", "s", codec.sequence_key(F.col("s")).alias("key"))
+    back = F.when(F.length("s") > 0, F.translate(F.lpad(F.conv(F.col("key").cast("string"), 10, 4), F.length("s"), F.lit("0")), "0123", "ACGT")).otherwise("")
+    return keyed.select("seq_id", "key", back.alias("back"))
+
+
+@query(f"WITH {SQL_TURNS} SELECT seq_id, md5(reverse(translate(text, 'ACGT', 'TGCA'))) AS digest FROM texts")
+def rev_comp(spark, sf_dir):
+    return turns(spark, sf_dir).select("seq_id", F.md5(codec.reverse_complement(F.col("text"))).alias("digest"))
+
+
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_full_match(coalesce(text, ''), '[ACGTacgt]+')) AS valid,
+    CAST(sum(length(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g'))) AS BIGINT) AS nucleotides FROM documents GROUP BY lang""")
+def valid_fraction(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").groupBy("lang")
+    return rows.agg(F.count("*").alias("n"), F.count_if(codec.is_valid(text)).alias("valid"), F.sum(F.length(F.regexp_replace(text, "[^ACGTacgt]", ""))).alias("nucleotides"))
+
+
+@query(
+    f"""WITH {SQL_DOCS}, n AS (SELECT seq_id, length(text) AS n, length(text) - length(replace(text, 'A', '')) AS a, length(text) - length(replace(text, 'C', '')) AS c, length(text) - length(replace(text, 'G', '')) AS g FROM texts)
+    SELECT seq_id, n + 1 AS n, CAST(1 AS BIGINT) AS c_A, 1 + a AS c_C, 1 + a + c AS c_G, 1 + a + c + g AS c_T FROM n"""
+)
+def char_histogram(spark, sf_dir):
+    return index.c_table(suffixes.suffixes(documents(spark, sf_dir), 1))
+
+
+# --- Suffix arrays ---------------------------------------------------------------------------------------------------
+
+
+@query(with_sa(SQL_DOCS, SQL_SUM))
+def sa_k32(spark, sf_dir):
+    return checksum(array_of(documents(spark, sf_dir)))
+
+
+@query(with_sa(SQL_TURNS, SQL_SUM, 10))
+def sa_k10(spark, sf_dir):
+    return checksum(array_of(turns(spark, sf_dir), 10))
+
+
+@query(with_sa(SQL_TURNS, SQL_SUM, 256))
+def sa_k256(spark, sf_dir):
+    return checksum(array_of(turns(spark, sf_dir), 256))
+
+
+SQL_WHOLE = "suffixes AS (SELECT seq_id, u.i AS pos, substr(text, u.i + 1) AS p, CASE WHEN u.i > 0 THEN substr(text, u.i, 1) END AS bwt FROM texts, unnest(range(0, length(text) + 1)) AS u(i))"
+
+
+@query(f"WITH {SQL_TURNS}, {SQL_WHOLE}, {SQL_SA} {SQL_SUM}")
+def sa_unbounded(spark, sf_dir):
+    return checksum(array_of(turns(spark, sf_dir), None))
+
+
+@query(f"WITH {SQL_TURNS}, {SQL_WHOLE}, {SQL_SA} {SQL_SUM}")
+def prefix_doubling(spark, sf_dir):
+    return checksum(suffixes.prefix_doubling(turns(spark, sf_dir)).withColumnRenamed("rk", "r"))
+
+
+@query(f"WITH {SQL_PARTS}, {SQL_WHOLE}, {SQL_SA} {SQL_SUM}")
+def general_alphabet_sa(spark, sf_dir):
+    return checksum(array_of(part_names(spark, sf_dir), None))
+
+
+@query(
+    f"WITH one AS (SELECT 0 AS seq_id, string_agg({DNA}, '' ORDER BY conv_id, turn) AS text FROM conversations), texts AS (SELECT * FROM one), "
+    + sql_suffixes(32).strip()
+    + f", {SQL_SA} SELECT p[1:2] AS bucket, count(*) AS n, CAST(sum((r % 1000003 + 1) * pos % 1000003) AS BIGINT) AS checksum FROM sa GROUP BY p[1:2]"
+)
+def sa_concatenated(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    blocks = materialize(suffixes.concatenated(t, "seq_id"), "blocks")
+    sa = suffixes.suffix_array(suffixes.suffixes_of_blocks(blocks, 32), "range")
+    return sa.groupBy(F.substring("p", 1, 2).alias("bucket")).agg(F.count("*").alias("n"), F.sum((F.col("r") % 1000003 + 1) * F.col("pos") % 1000003).alias("checksum"))
+
+
+@query(
+    "WITH "
+    + ", ".join([SQL_TURNS, sql_suffixes(10).strip()])
+    + ", c AS (SELECT seq_id, p AS bucket, count(*) AS n FROM suffixes GROUP BY seq_id, p) SELECT seq_id, bucket, n, CAST(coalesce(sum(n) OVER (PARTITION BY seq_id ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM c"
+)
+def bucket_offsets(spark, sf_dir):
+    return suffixes.bucket_counts(suffixes.suffixes(turns(spark, sf_dir), 10), 10)
+
+
+SQL_RUNS = """chars AS (SELECT seq_id, length(text) AS len, u.i AS pos, substr(text, u.i + 1, 1) AS c FROM texts, unnest(range(0, length(text))) AS u(i)),
+marked AS (SELECT *, lag(c) OVER (PARTITION BY seq_id ORDER BY pos) AS before FROM chars),
+runs AS (SELECT *, lead(c) OVER w AS after, lead(pos) OVER w AS next FROM marked WHERE before IS NULL OR before <> c WINDOW w AS (PARTITION BY seq_id ORDER BY pos))"""
+
+
+@query(
+    f"""WITH {SQL_TURNS}, {SQL_RUNS}, lms AS (SELECT seq_id, pos FROM runs WHERE before > c AND after > c UNION ALL SELECT seq_id, length(text) FROM texts)
+    SELECT seq_id, count(*) AS n, CAST(sum(pos * pos) AS BIGINT) AS checksum FROM lms GROUP BY seq_id"""
+)
+def lms_positions(spark, sf_dir):
+    return suffixes.lms_positions(turns(spark, sf_dir)).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(F.col("pos") * F.col("pos")).alias("checksum"))
+
+
+@query(f"WITH {SQL_TURNS}, {SQL_RUNS} SELECT seq_id, c, CASE WHEN after > c THEN 'S' ELSE 'L' END AS type, CAST(sum(coalesce(next, len) - pos) AS BIGINT) AS n FROM runs GROUP BY ALL")
+def lms_type_histogram(spark, sf_dir):
+    return suffixes.suffix_types(turns(spark, sf_dir))
+
+
+# --- Index tables ----------------------------------------------------------------------------------------------------
+
+
+@query(with_sa(SQL_DOCS, "SELECT seq_id, md5(string_agg(coalesce(bwt, '$'), '' ORDER BY r)) AS digest FROM sa GROUP BY seq_id"))
+def bwt(spark, sf_dir):
+    return index.bwt_text(array_of(documents(spark, sf_dir))).select("seq_id", F.md5("bwt").alias("digest"))
+
+
+@query(with_sa(SQL_DOCS, "SELECT seq_id, r AS primary_row FROM sa WHERE pos = 0"))
+def primary_index(spark, sf_dir):
+    return index.primary_rows(array_of(documents(spark, sf_dir)))
+
+
+@query(
+    with_sa(
+        SQL_TURNS,
+        "SELECT b.seq_id, b.r, " + ", ".join(f"(SELECT count(*) FROM sa WHERE sa.seq_id = b.seq_id AND sa.r < b.r AND sa.bwt = '{c}') AS o_{c}" for c in "ACGT") + " FROM (SELECT DISTINCT seq_id, r // 64 * 64 AS r FROM sa) b",
+    )
+)
+def occ_checkpoints(spark, sf_dir):
+    return index.occurrence_checkpoints(array_of(turns(spark, sf_dir)), 64)
+
+
+@query(with_sa(SQL_TURNS, "SELECT seq_id, r, pos FROM sa WHERE pos % 4 = 0"))
+def sampled_sa(spark, sf_dir):
+    return index.sampled(array_of(turns(spark, sf_dir)), 4)
+
+
+@query(
+    with_sa(
+        SQL_TURNS,
+        "SELECT seq_id, b, n, CAST(coalesce(sum(n) OVER (PARTITION BY seq_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT seq_id, r // 64 AS b, count(*) FILTER (WHERE pos % 4 = 0) AS n FROM sa GROUP BY seq_id, r // 64)",
+    )
+)
+def sample_bitmap(spark, sf_dir):
+    return index.sample_bitmap(array_of(turns(spark, sf_dir)), 4, 64)
+
+
+SQL_KMERS = 'SELECT seq_id, substr(p, 1, 4) AS kmer, min(r) AS beg, max(r) + 1 AS "end" FROM sa WHERE length(p) >= 4 GROUP BY seq_id, substr(p, 1, 4)'
+
+
+@query(with_sa(SQL_TURNS, SQL_KMERS))
+def kmer_lookup(spark, sf_dir):
+    return index.kmer_lookup(array_of(turns(spark, sf_dir)), 4)
+
+
+@query(f"WITH {SQL_TURNS} SELECT seq_id, length(text) AS n, md5(text) AS digest FROM texts WHERE text <> ''")
+def bwt_inverse(spark, sf_dir):
+    sa = materialize(array_of(turns(spark, sf_dir), None).select("seq_id", "r", "bwt"), "sa")
+    chars = index.invert(sa).groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "").alias("text"))
+    return chars.select("seq_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
+# --- Search ----------------------------------------------------------------------------------------------------------
+
+
+@query(with_sa(SQL_DOCS, "SELECT q.pattern_id, q.pattern, count(h.pos) AS n, CAST(coalesce(sum(h.pos), 0) AS BIGINT) AS positions FROM patterns q LEFT JOIN hits h ON h.pattern_id = q.pattern_id GROUP BY q.pattern_id, q.pattern", 32, sql_patterns(PATTERNS), SQL_HITS))
+def locate_batch_checksum(spark, sf_dir):
+    """Number of matches and sum of their positions for a batch of patterns: the flagship query."""
+    return search.count(patterns(spark, PATTERNS), array_of(documents(spark, sf_dir)))
+
+
+@query(with_sa(SQL_TURNS, "SELECT q.pattern_id, q.pattern, count(h.pos) AS n, CAST(coalesce(sum(h.pos), 0) AS BIGINT) AS positions FROM patterns q LEFT JOIN hits h ON h.pattern_id = q.pattern_id GROUP BY q.pattern_id, q.pattern", 32, sql_patterns(PATTERNS), SQL_HITS))
+def count_batch(spark, sf_dir):
+    return search.count(patterns(spark, PATTERNS), array_of(turns(spark, sf_dir)))
+
+
+SQL_ORDINAL = "k || CASE WHEN k % 100 BETWEEN 10 AND 19 THEN 'th' WHEN k % 10 = 1 THEN 'st' WHEN k % 10 = 2 THEN 'nd' WHEN k % 10 = 3 THEN 'rd' ELSE 'th' END"
+
+
+@query(
+    with_sa(
+        SQL_TURNS,
+        f"SELECT pattern_id, {SQL_ORDINAL} AS place, h.seq_id, pos, substr(t.text, pos + 1, length(h.pattern)) AS found FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY seq_id, pos) AS k FROM hits) h JOIN texts t ON t.seq_id = h.seq_id WHERE k <= 10",
+        32,
+        sql_patterns(PATTERNS),
+        SQL_HITS,
+    )
+)
+def locate_single_topn(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    return search.first_positions(patterns(spark, PATTERNS), array_of(t), t, 10)
+
+
+@query(with_sa(SQL_TURNS, 'SELECT pattern_id, seq_id, min(r) AS beg, max(r) + 1 AS "end" FROM hits GROUP BY pattern_id, seq_id', 32, sql_patterns(PATTERNS), SQL_HITS))
+def range_begend(spark, sf_dir):
+    return search.ranges(patterns(spark, PATTERNS), array_of(turns(spark, sf_dir)))
+
+
+@query(with_sa(SQL_TURNS, "SELECT pattern_id, pattern FROM patterns WHERE pattern_id IN (SELECT pattern_id FROM hits)", 32, sql_patterns(PATTERNS), SQL_HITS))
+def pattern_semi(spark, sf_dir):
+    return search.with_match(patterns(spark, PATTERNS), array_of(turns(spark, sf_dir)))
+
+
+@query(with_sa(SQL_TURNS, "SELECT pattern_id, pattern FROM patterns WHERE pattern_id NOT IN (SELECT pattern_id FROM hits)", 32, sql_patterns(PATTERNS), SQL_HITS))
+def pattern_anti(spark, sf_dir):
+    return search.without_match(patterns(spark, PATTERNS), array_of(turns(spark, sf_dir)))
+
+
+def sql_backward(stop: int) -> str:
+    """The range after each number of steps is that of the pattern's last characters; the first small enough one ends the search."""
+    return with_sa(
+        SQL_TURNS,
+        f"""SELECT pattern_id, seq_id, CASE WHEN remaining = length(pattern) THEN 0 ELSE beg END AS beg, CASE WHEN remaining = length(pattern) THEN n ELSE "end" END AS "end", CAST(remaining AS INTEGER) AS remaining
+        FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id, seq_id ORDER BY done) AS k FROM steps WHERE size <= {stop} OR done = length(pattern)) WHERE k = 1""",
+        32,
+        sql_patterns(SHORT),
+        """sizes AS (SELECT seq_id, length(text) + 1 AS n FROM texts),
+        tails AS (SELECT q.pattern_id, q.pattern, d.done, right(q.pattern, d.done) AS tail FROM patterns q, unnest(range(0, length(q.pattern) + 1)) AS d(done)),
+        steps AS (
+          SELECT t.pattern_id, t.pattern, t.done, length(t.pattern) - t.done AS remaining, s.seq_id, s.n,
+                 count(*) FILTER (WHERE sa.p < t.tail) AS beg,
+                 count(*) FILTER (WHERE sa.p < t.tail OR starts_with(sa.p, t.tail)) AS "end",
+                 count(*) FILTER (WHERE starts_with(sa.p, t.tail)) AS size
+          FROM tails t, sizes s JOIN sa ON sa.seq_id = s.seq_id GROUP BY ALL)""",
+    )
+
+
+def _backward(spark, sf_dir, stop: int) -> DataFrame:
+    sa = materialize(array_of(turns(spark, sf_dir), 32).select("seq_id", "r", "bwt"), "sa")
+    return search.backward_search(patterns(spark, SHORT), index.c_table(sa), materialize(index.occurrence_ranks(sa), "ranks"), stop)
+
+
+@query(sql_backward(0))
+def backward_search(spark, sf_dir):
+    return _backward(spark, sf_dir, 0)
+
+
+@query(sql_backward(20))
+def backward_stop_cnt(spark, sf_dir):
+    return _backward(spark, sf_dir, 20)
+
+
+@query("SELECT u.pattern_id, u.pattern, count(*) AS n FROM (SELECT page_id, url FROM pages) p, (VALUES (0, 'example'), (1, '://m.'), (2, '/en/')) u(pattern_id, pattern), unnest(range(1, length(url) + 1)) AS v(i) WHERE substr(url, v.i, length(u.pattern)) = u.pattern GROUP BY u.pattern_id, u.pattern")
+def general_alphabet_count(spark, sf_dir):
+    urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq_id"), F.col("url").alias("text"))
+    return search.count(patterns(spark, ["example", "://m.", "/en/"]), array_of(urls)).select("pattern_id", "pattern", "n")
+
+
+@query(
+    with_sa(
+        SQL_TURNS,
+        "SELECT q.pattern_id, count(*) AS n FROM patterns q JOIN texts t ON true, unnest(range(1, length(t.text) + 1)) AS v(i) WHERE substr(t.text, v.i, length(q.pattern)) = q.pattern GROUP BY q.pattern_id",
+        32,
+        sql_patterns(["A" * 36, "A" * 40 + "C", "CAAG"]),
+    )
+)
+def long_pattern_count(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    return search.verified(patterns(spark, ["A" * 36, "A" * 40 + "C", "CAAG"]), array_of(t), t).groupBy("pattern_id").agg(F.count("*").alias("n"))
+
+
+# --- Files -----------------------------------------------------------------------------------------------------------
+
+
+def _named(c: Column) -> Column:
+    return F.concat(F.lit("seq"), c.cast("string"))
+
+
+@query(f"WITH {SQL_TURNS} SELECT 'seq' || seq_id AS name, text AS seq FROM texts")
+def fasta_roundtrip(spark, sf_dir):
+    path = new_path(spark, "fasta")
+    files.write_fasta(turns(spark, sf_dir).select(_named(F.col("seq_id")).alias("name"), F.col("text").alias("seq")), path, compression="gzip")
+    return files.read_fasta(spark, path)
+
+
+@query(f"WITH {SQL_TURNS} SELECT 'seq' || seq_id AS name, text AS seq, translate(text, 'ACGT', '@+>I') AS qual FROM texts WHERE text <> ''")
+def fastq_roundtrip(spark, sf_dir):
+    path = new_path(spark, "fastq")
+    rows = turns(spark, sf_dir).where("text <> ''")
+    files.write_fastq(rows.select(_named(F.col("seq_id")).alias("name"), F.col("text").alias("seq"), F.translate("text", "ACGT", "@+>I").alias("qual")), path)
+    return files.read_fastq(spark, path)
+
+
+@query(with_sa(SQL_TURNS, SQL_KMERS))
+def index_save_load(spark, sf_dir):
+    path = new_path(spark, "index")
+    sa = materialize(array_of(turns(spark, sf_dir)), "sa")
+    files.save_index(index.build_tables(sa), path)
+    return files.load_index(spark, path)["lookup"]

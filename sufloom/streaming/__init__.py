@@ -1 +1 @@
-
+"""Streams of patterns against a stored index."""
