@@ -100,13 +100,13 @@ def spans(text: Column, ratios: list[float], least_ratio: float = 12.0) -> tuple
 
 
 def scan(docs: DataFrame, samples: DataFrame | None = None, least_ratio: float = 12.0) -> DataFrame:
-    """docs with the columns base and found (arrays of start, kind, end, value); found holds the base spans too."""
+    """doc (a struct of the columns of docs), base and found (arrays of start, kind, end, value); found holds the base spans too."""
     ratios = train(labelled_samples(docs) if samples is None else samples)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base, more = spans(text, ratios, least_ratio)
-    rows = docs.withColumns({"base": base, "more": more})
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), base.alias("base"), more.alias("more"))
     apart = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return rows.withColumn("found", F.array_sort(F.concat("base", apart))).drop("more")
+    return rows.select("doc", "base", F.array_sort(F.concat("base", apart)).alias("found"))
 
 
 def digest_text(column: str) -> Column:
@@ -129,8 +129,9 @@ def masked(text: Column, found_: Column, mask: str = "[SECRET]") -> Column:
 
 def mask_secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """docs with secrets masked in text, and n_chars counted anew where it is a column; a null text stays null."""
-    rows = scan(docs, samples)
-    rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("found"))))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    text = F.col("doc.text")
+    own = {c: F.col(f"doc.`{c}`") for c in docs.columns}
+    own["text"] = F.when(text.isNotNull(), masked(text, F.col("found")))
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.size("found") > 0, F.length(own["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return scan(docs, samples).select(*(v.alias(c) for c, v in own.items()))

@@ -91,7 +91,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     def digest(batches):
         for batch in batches:
             ids = batch.column("ids")
-            raw = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
+            raw = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False).tobytes())
             ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) * 4
             crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])), np.int64, len(ids))
             counts = pa.array((np.diff(ends) // 4).astype(np.int64))
