@@ -3,8 +3,8 @@
 DataFrame functions alone do the work. A pattern's spans follow from the lengths of its matches and of the gaps between
 them. Tokens of at least MIN_TOKEN characters that hold a digit and a letter, and overlap no base span, are scored by the
 log-likelihood ratio of two first-order Markov models: transitions between characters in random strings and in ordinary
-identifiers, counted by Spark from labelled samples, with add-one smoothing. Tokens at `least_ratio` or more are spans of
-the kind markov. The model is one array of numbers of fixed size, put into the plan as a constant.
+identifiers, counted by Spark from labelled samples, with add-one smoothing. Tokens whose ratio is at least `least_ratio`,
+and `least_mean` for each transition, are spans of the kind markov. The model is one array of numbers of fixed size, put into the plan as a constant.
 
 labelled_samples derives such samples from a bounded number of documents (those with the least hashes): values of base
 spans and digests of words, in several spellings, are random strings; words, pairs of words and words with numbers are
@@ -85,7 +85,7 @@ def train(samples: DataFrame) -> list[float]:
     return [r["r"] for r in sorted(rows, key=lambda r: r["code"])]
 
 
-def spans(text: Column, ratios: list[float], least_ratio: float = 12.0) -> tuple[Column, Column]:
+def spans(text: Column, ratios: list[float], least_ratio: float = 12.0, least_mean: float = 1.25) -> tuple[Column, Column]:
     """Base spans and spans of all kinds as arrays of (start, kind, end, value), each in order of start and kind."""
     base = base_spans(text)
     table = F.from_json(F.lit(json.dumps([round(x, 4) for x in ratios])), "array<double>")
@@ -96,17 +96,17 @@ def spans(text: Column, ratios: list[float], least_ratio: float = 12.0) -> tuple
 
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     tokens = F.when(text.rlike(TOKEN), F.filter(found(text, TOKEN, 0, MIN_TOKEN, 3), lambda x: mixed(x["value"]))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
-    return base, F.filter(tokens, lambda x: ratio(x["value"]) >= least_ratio)
+    return base, F.filter(tokens, lambda x: ratio(x["value"]) >= F.greatest(F.lit(least_ratio), least_mean * (F.length(x["value"]) - 1)))
 
 
-def scan(docs: DataFrame, samples: DataFrame | None = None, least_ratio: float = 12.0) -> DataFrame:
-    """doc (a struct of the columns of docs), base and found (arrays of start, kind, end, value); found holds the base spans too."""
+def scan(docs: DataFrame, samples: DataFrame | None = None, least_ratio: float = 12.0, least_mean: float = 1.25) -> DataFrame:
+    """scanned (a struct of the columns of docs), base and found (arrays of start, kind, end, value); found holds the base spans too."""
     ratios = train(labelled_samples(docs) if samples is None else samples)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base, more = spans(text, ratios, least_ratio)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), base.alias("base"), more.alias("more"))
+    base, more = spans(text, ratios, least_ratio, least_mean)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("scanned"), base.alias("base"), more.alias("more"))
     apart = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return rows.select("doc", "base", F.array_sort(F.concat("base", apart)).alias("found"))
+    return rows.select("scanned", "base", F.array_sort(F.concat("base", apart)).alias("found"))
 
 
 def digest_text(column: str) -> Column:
@@ -129,8 +129,8 @@ def masked(text: Column, found_: Column, mask: str = "[SECRET]") -> Column:
 
 def mask_secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """docs with secrets masked in text, and n_chars counted anew where it is a column; a null text stays null."""
-    text = F.col("doc.text")
-    own = {c: F.col(f"doc.`{c}`") for c in docs.columns}
+    own = {c: F.col("scanned").getField(c) for c in docs.columns}
+    text = own["text"]
     own["text"] = F.when(text.isNotNull(), masked(text, F.col("found")))
     if "n_chars" in own:
         own["n_chars"] = F.when(F.size("found") > 0, F.length(own["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
