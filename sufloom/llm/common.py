@@ -74,6 +74,15 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def least_hashed(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of least hash of key, ties to the lesser key: a sample that doesn't depend on order or partitions. Of a
+    large table only about 4n rows, those under a hash bound, reach the sort."""
+    total, h = rows.count(), F.xxhash64(key)
+    if total > 8 * n:
+        rows = rows.where(h < -(2**63) + int(2**64 * 4 * n / total))
+    return rows.orderBy(h, key).limit(n)
+
+
 def prefix_offsets(counts: DataFrame, part: str, value: str, out: str) -> DataFrame:
     """Exclusive running sum of value by part; counts has one row per partition of a job, so the one-task window is small."""
     from pyspark.sql import Window

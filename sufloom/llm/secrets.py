@@ -21,6 +21,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sufloom.llm.common import least_hashed
+
 KINDS = ("assign", "access", "hex", "markov")
 # Patterns, the group whose length counts, and the least length, of the base kinds.
 BASE = (
@@ -60,7 +62,7 @@ def base_spans(text: Column) -> Column:
 def labelled_samples(docs: DataFrame, documents: int = 500) -> DataFrame:
     """token and label (1: random, 0: identifier) derived from the texts of so many documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.select(F.col("doc_id"), text.alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(documents)
+    some = docs.select("doc_id", text.alias("text")).join(F.broadcast(least_hashed(docs.select("doc_id"), "doc_id", documents).distinct()), "doc_id", "left_semi")
     values = some.select(F.explode(F.transform(base_spans(F.col("text")), lambda s: s["value"])).alias("token")).where(F.length("token") >= MIN_TOKEN)
     words = some.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"[A-Za-z]{4,}"), F.lit(0))).alias("w")).distinct()
     number = F.pmod(F.xxhash64("w"), F.lit(10000)).cast("string")

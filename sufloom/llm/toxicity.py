@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sufloom.llm.common import cut
+from sufloom.llm.common import cut, least_hashed
 from sufloom.llm.token_output import texts_of
 
 SPAN, DECAY, POWER = 5, 0.6, 4
@@ -211,7 +211,7 @@ _IN_PROCESS: dict = {}
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = 2000, landmarks: int = 128, per_document: int = 3, least_lift: float = 4.0) -> Scorer | None:
     """The scorer, or None where the labelled rows teach nothing. labels: doc_id and label (0 or 1); held_out: of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out)
-    chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    chosen = [least_hashed(known.where(F.col("label") == c), "doc_id", per_class) for c in (0, 1)]
     sample = cut(texts_of(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("text", "label"), "toxicity-sample")
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (counts.get(0) and counts.get(1)):
