@@ -1,14 +1,12 @@
 """Exact pattern search on suffix arrays.
 
-patterns are rows (pattern_id, pattern). A suffix matches if it begins with the pattern; one equi-join for each
-pattern length that occurs, on that many first characters, so a range of rows is never compared with each pattern.
+patterns are rows (pattern_id, pattern). A suffix matches if it begins with the pattern: an equi-join on as many first
+characters as a pattern has, for each length that occurs, so a suffix is never compared with every pattern.
 Patterns with other characters than A, C, G, T (or longer than the indexed prefix) match nothing here; see `verified`.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +17,16 @@ SMALL = 100_000  # patterns; up to so many are broadcast
 
 def matches(patterns: DataFrame, sa: DataFrame, indexed: int = 32) -> DataFrame:
     """pattern_id, pattern, seq_id, r, pos of every match."""
-    lengths = [r["l"] for r in patterns.select(F.length("pattern").alias("l")).where(F.col("l").between(1, indexed)).distinct().collect()]  # at most `indexed` numbers
-    small = patterns.count() <= SMALL
-    parts = []
-    for l in sorted(lengths):
-        own = patterns.where(F.length("pattern") == l).select("pattern_id", "pattern", F.col("pattern").alias("key"))
-        rows = sa.where(F.length("p") >= l).select("seq_id", "r", "pos", F.substring("p", 1, l).alias("key"))
-        parts.append(rows.join(F.broadcast(own) if small else own, "key").select("pattern_id", "pattern", "seq_id", "r", "pos"))
-    none = patterns.where(F.lit(False)).select("pattern_id", "pattern", *(F.lit(None).cast("long").alias(c) for c in ("seq_id", "r", "pos")))
-    return reduce(DataFrame.unionByName, parts, none)
+    lengths = sorted(r["l"] for r in patterns.select(F.length("pattern").alias("l")).where(F.col("l").between(1, indexed)).distinct().collect())  # at most `indexed` numbers
+    if not lengths:
+        return patterns.where(F.lit(False)).select("pattern_id", "pattern", *(F.lit(None).cast("long").alias(c) for c in ("seq_id", "r", "pos")))
+    own = patterns.where(F.length("pattern").between(1, indexed)).select("pattern_id", "pattern", F.col("pattern").alias("key"))
+    if patterns.count() <= SMALL:
+        own = F.broadcast(own)
+    # The array is read once: each suffix offers a key for each length, and keys of one length equal patterns of that length only.
+    keyed = sa.where(F.length("p") >= lengths[0]).select("seq_id", "r", "pos", "p", F.explode(F.array(*map(F.lit, lengths))).alias("l")).where(F.length("p") >= F.col("l"))
+    keyed = keyed.select("seq_id", "r", "pos", F.substring(F.col("p"), F.lit(1), F.col("l")).alias("key"))
+    return keyed.join(own, "key").select("pattern_id", "pattern", "seq_id", "r", "pos")
 
 
 def count(patterns: DataFrame, sa: DataFrame, indexed: int = 32) -> DataFrame:

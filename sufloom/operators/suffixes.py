@@ -96,15 +96,32 @@ def bucket_counts(suffix_rows: DataFrame, length: int = 10) -> DataFrame:
     return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
 
 
-def prefix_doubling(texts: DataFrame, k: int | None = None, max_rounds: int = 40) -> DataFrame:
-    """seq_id, pos, rk (0 the empty suffix): ranks by 1, 2, 4, ... characters until all are distinct, or k are compared.
+def _ranked(rows: DataFrame, keys: list[str], strategy: str) -> DataFrame:
+    """seq_id, pos and rk: how many rows of the text have a smaller key. "range" sorts the distinct keys by range
+    partitions and joins them back, so that one long text is ranked by many tasks."""
+    if strategy == "window":
+        w = Window.partitionBy("seq_id").orderBy(*keys)
+        return rows.select("seq_id", "pos", (F.rank().over(w) - 1).cast("long").alias("rk"))
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = rows.groupBy("seq_id", *keys).agg(F.count("*").alias("m")).repartitionByRange(parts, "seq_id", *keys)
+    groups = materialize(groups.withColumn("part", F.spark_partition_id()), "groups")
+    before = Window.partitionBy("seq_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = groups.groupBy("seq_id", "part").agg(F.sum("m").alias("total"))
+    totals = totals.select("seq_id", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("seq_id", "part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = groups.withColumn("ahead", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(totals, ["seq_id", "part"])
+    firsts = firsts.select("seq_id", *keys, (F.col("base") + F.col("ahead")).cast("long").alias("first"))
+    return rows.join(firsts, ["seq_id", *keys]).select("seq_id", "pos", F.col("first").alias("rk"))
+
+
+def doubled(one_character: DataFrame, k: int | None = None, strategy: str = "window", max_rounds: int = 40) -> DataFrame:
+    """seq_id, pos, rk (0 the empty suffix) of suffix rows with p of one character: ranks by 1, 2, 4, ... characters
+    until all are distinct, or k are compared.
 
     Texts whose ranks are all distinct leave the loop; each round is written to the shared folder. With k, suffixes
     that tie on the characters compared are ranked by position.
     """
-    rows = suffixes(texts, 1)
-    alone = Window.partitionBy("seq_id")
-    ranked = materialize(rows.select("seq_id", "pos", (F.rank().over(alone.orderBy("p")) - 1).cast("long").alias("rk")), "doubling")
+    ranked = materialize(_ranked(one_character.select("seq_id", "pos", "p"), ["p"], strategy), "doubling")
     done, h = None, 1
     for _ in range(max_rounds):
         open_ = ranked.groupBy("seq_id").agg(F.count("*").alias("n"), F.countDistinct("rk").alias("d")).where("n > d").select("seq_id")
@@ -113,16 +130,21 @@ def prefix_doubling(texts: DataFrame, k: int | None = None, max_rounds: int = 40
         done = finished if done is None else done.unionByName(finished)
         if (k is not None and h >= k) or rest.isEmpty():
             if k is not None:
-                rk = (F.row_number().over(alone.orderBy("rk", "pos")) - 1).cast("long")
-                done = done.unionByName(rest.select("seq_id", "pos", rk.alias("rk")))
+                within = F.row_number().over(Window.partitionBy("seq_id", "rk").orderBy("pos"))
+                done = done.unionByName(rest.select("seq_id", "pos", (F.col("rk") + within - 1).alias("rk")))
             return done
         ahead = rest.select("seq_id", (F.col("pos") - h).alias("pos"), F.col("rk").alias("rk2"))
-        pair = rest.join(ahead, ["seq_id", "pos"], "left").withColumn("rk2", F.coalesce("rk2", F.lit(-1)))
-        ranked = materialize(pair.select("seq_id", "pos", (F.rank().over(alone.orderBy("rk", "rk2")) - 1).cast("long").alias("rk")), "doubling")
+        pair = rest.withColumnRenamed("rk", "old").join(ahead, ["seq_id", "pos"], "left").withColumn("rk2", F.coalesce("rk2", F.lit(-1)))
+        ranked = materialize(_ranked(pair, ["old", "rk2"], strategy), "doubling")
         h *= 2
     raise RuntimeError("prefix doubling did not end")
 
 
+def prefix_doubling(texts: DataFrame, k: int | None = None, strategy: str = "window") -> DataFrame:
+    """doubled() of the texts' suffixes."""
+    return doubled(suffixes(texts, 1), k, strategy)
+
+
 def lms_positions(texts: DataFrame) -> DataFrame:
     """seq_id, pos, c of the leftmost S-type positions: a run of equal characters between greater ones begins there.
     The empty suffix, always one of them, has c null."""
