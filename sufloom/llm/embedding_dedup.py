@@ -5,7 +5,7 @@ orthogonal bases. A filter is a pair of code words, one for each half, standing
 every filter whose inner product with it exceeds `cap`, listed from the two sorted lists of half products without trying
 all pairs (list decoding). Vectors are joined on filters: each filter's vectors, in blocks of at most `block_rows`, are
 compared in tasks by their double-precision cosines. A pair counts in the first filter its vectors share only. Tasks
-return counts of links and a spanning forest of each block's links, never the pairs.
+return counts of links and a spanning forest of each block's links, never the pairs. Equal vectors are compared as one.
 
 Two vectors with cosine c share a filter with a probability that grows with c and falls with cap; tests measure the
 recall against brute force.
@@ -45,7 +45,8 @@ def decode(units: np.ndarray, left: np.ndarray, right: np.ndarray, cap: float, l
     """For each unit vector the sorted ids of all filters (i * len(right) + j) with (<x1, left_i> + <x2, right_j>) / sqrt(2) >= cap;
     of a vector with fewer than `least` such filters, the nearest `least`."""
     half = left.shape[1]
-    p, q = units[:, :half] @ left.T, units[:, half:] @ right.T
+    # einsum, whose sums don't depend on how many vectors come at once: a vector always lists the same filters
+    p, q = np.einsum("ij,kj->ik", units[:, :half], left), np.einsum("ij,kj->ik", units[:, half:], right)
     need = cap * np.sqrt(2)
     order = np.argsort(-q, axis=1)
     out = []
@@ -119,36 +120,44 @@ def matrix(column) -> np.ndarray:
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, cap: float | None = None, words: int | None = None, block_rows: int = 512, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row. See the module."""
     spark = vectors.sparkSession
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    alone = every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    valid = valid_vectors(vectors).where(F.exists("embedding", lambda x: x != 0))
-    first = valid.agg(F.min_by(F.size("embedding"), "vec_id"), F.count("*")).first()
-    if not first[1]:
-        return alone
-    dim, rows = first
+    # Single-precision vectors travel as such; all products are of doubles.
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    usable = F.coalesce(usable & F.col("vec_id").isNotNull(), F.lit(False))
+    first = every.where(usable).agg(F.min_by(F.size("embedding"), "vec_id"), F.count("*")).first()
+    dim, rows = first[0] or 0, first[1]
+    fine = usable & (F.coalesce(F.size("embedding"), F.lit(0)) == dim)
+    alone = every.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if not rows:
+        return alone.withColumn("kept", F.lit(True))
     # More words as the table grows: the filters' mean load stays the same.
     words = words or int(min(4096, max(64, 2 ** math.ceil(math.log2(max(1.0, rows / 8)) / 2))))
     size = dim + dim % 2
     left, right = half_codes(size // 2, words, seed), half_codes(size // 2, words, seed + 1)
-    cap = cap if cap is not None else cap_for(left, right, size, load=64.0 * max(1.0, words / 128) ** 0.5)
-    valid = valid.where(F.size("embedding") == dim)
+    cap = cap if cap is not None else cap_for(left, right, size, load=48.0 * max(1.0, words / 128) ** 0.5)
+
+    def units_of(column) -> np.ndarray:
+        x = matrix(column).astype(float)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    def filters_of(units: np.ndarray) -> list[np.ndarray]:
+        return decode(np.pad(units, ((0, 0), (0, size - dim))), left, right, cap)
 
     def filters(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                x = matrix(part.column("embedding"))
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                units = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                padded = np.pad(units, ((0, 0), (0, size - dim)))
-                mine = decode(padded, left, right, cap)
+                mine = filters_of(units_of(part.column("embedding")))
                 lens = np.array([len(f) for f in mine], np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(np.concatenate(mine).astype(np.int64) if len(mine) else np.zeros(0, np.int64)))
-                unit = pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1, dtype=np.int32) * dim), pa.array(units.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("row"), unit, listed], names=["vec_id", "row", "unit", "filters"])
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(np.concatenate(mine).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "vec_id", "copies", "embedding")), listed], names=["row", "vec_id", "copies", "embedding", "filters"])
 
-    numbered = valid.withColumn("row", F.monotonically_increasing_id())
-    coded = cut(numbered.select("vec_id", "row", "embedding").mapInArrow(filters, "vec_id long, row long, unit array<double>, filters array<long>"), "coded")
+    # Equal vectors are one class, compared once; row numbers the classes.
+    classes = every.where(fine).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    classes = classes.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "copies", "embedding")
+    coded = cut(classes.mapInArrow(filters, f"row long, vec_id long, copies long, embedding array<{kind}>, filters array<long>"), "coded")
 
     placed = coded.select("row", F.explode("filters").alias("filter"))
     loads = placed.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1")
@@ -156,15 +165,16 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, cap: floa
     placed = placed.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("row", "filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = placed.join(coded, "row").repartition(parts, "filter", "i", "j").sortWithinPartitions("filter", "i", "j")
+    dealt = placed.join(coded.select("row", "vec_id", "copies", "embedding"), "row").repartition(parts, "filter", "i", "j").sortWithinPartitions("filter", "i", "j")
 
     def compare(batches):
         for block in grouped_by_key(batches, ("filter", "i", "j")):
             i, j, f = block["i"][0].as_py(), block["j"][0].as_py(), block["filter"][0].as_py()
-            units, ids, own = matrix(block["unit"]), block["vec_id"].to_numpy(), block["own"].to_numpy()
-            mine, theirs = (np.arange(len(ids)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+            own = block["own"].to_numpy()
+            mine, theirs = (np.arange(len(own)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
             if not len(mine) or not len(theirs):
                 continue
+            units = units_of(block["embedding"])
             hit = units[mine] @ units[theirs].T >= threshold
             if i == j:
                 hit &= mine[:, None] < theirs[None, :]
@@ -172,43 +182,35 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, cap: floa
             if not len(p):
                 continue
             p, q = mine[p], theirs[q]
-            lists = block["filters"].combine_chunks()
-            lens = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(ids)), lens)
-            before = flat < f  # of the filters both take, is there one before this?
-            known, code = np.unique(flat[before], return_inverse=True)
-            held = np.zeros((len(ids), len(known) or 1), np.float32)
-            held[owner[before], code] = 1
-            shared = (held[mine] @ held[theirs].T) > 0
-            where = np.full(len(ids), -1)
-            where[mine] = np.arange(len(mine))
-            there = np.full(len(ids), -1)
-            there[theirs] = np.arange(len(theirs))
-            new = ~shared[where[p], there[q]]
+            met = np.unique(np.concatenate([p, q]))  # only vectors with a link here list their filters again
+            again = [x[x < f] for x in filters_of(units[met])]
+            known, code = np.unique(np.concatenate(again), return_inverse=True)
+            held = np.zeros((len(met), len(known) or 1), np.float32)
+            held[np.repeat(np.arange(len(met)), [len(x) for x in again]), code] = 1
+            earlier = (held @ held.T) > 0  # a filter before this one holds both
+            new = ~earlier[np.searchsorted(met, p), np.searchsorted(met, q)]
             p, q = p[new], q[new]
             if not len(p):
                 continue
-            counts = np.bincount(np.concatenate([p, q]), minlength=len(ids))
-            some = np.flatnonzero(counts)
-            tree = forest(p, q, len(ids))
-            a = np.concatenate([ids[some], ids[p[tree]]])
-            b = np.concatenate([ids[some], ids[q[tree]]])
-            n = np.concatenate([counts[some], np.zeros(len(tree), np.int64)])
-            rows_of = np.concatenate([block["row"].to_numpy()[some], np.full(len(tree), -1)])
-            yield pa.RecordBatch.from_arrays([pa.array(rows_of), pa.array(a), pa.array(b), pa.array(n)], names=["row", "a", "b", "n"])
+            copies, row, ids = (block[c].to_numpy() for c in ("copies", "row", "vec_id"))
+            counts = np.bincount(np.concatenate([p, q]), weights=np.concatenate([copies[q], copies[p]]), minlength=len(own)).astype(np.int64)
+            some, tree = np.flatnonzero(counts), forest(p, q, len(own))
+            columns = [
+                np.concatenate([row[some], np.full(len(tree), -1)]),
+                np.concatenate([ids[some], ids[p[tree]]]),
+                np.concatenate([ids[some], ids[q[tree]]]),
+                np.concatenate([counts[some], np.zeros(len(tree), np.int64)]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "a", "b", "n"])
 
     found = cut(dealt.mapInArrow(compare, "row long, a long, b long, n long"), "found")
-    links = found.where("row >= 0").groupBy("row").agg(F.sum("n").alias("n_links"))
-    edges = found.where("row < 0 and a <> b").select("a", "b").distinct()
+    links = found.where("row >= 0").groupBy("row").agg(F.sum("n").alias("n"))
+    by_class = coded.join(links, "row", "left").select("embedding", F.col("vec_id").alias("least"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    own = cut(every.where(fine).join(by_class, "embedding").select("vec_id", "least", "n_links"), "linked")
+    edges = found.where("row < 0").select("a", "b").unionByName(own.select(F.col("vec_id").alias("a"), F.col("least").alias("b"))).where("a <> b").distinct()
     joined = components(edges).select(F.col("node").alias("vec_id"), F.col("label").alias("component_id"))
-    per_row = coded.select("row", "vec_id").join(links, "row", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    per_row = per_row.join(joined, "vec_id", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0) & (F.size("embedding") == dim)
-    out = rest.where(F.col("vec_id").isNull() | ~F.coalesce(fine, F.lit(False)))
-    out = out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return per_row.unionByName(out).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    per_row = own.join(joined, "vec_id", "left").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    return per_row.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def cap_for(left: np.ndarray, right: np.ndarray, size: int, load: float, samples: int = 500) -> float:
