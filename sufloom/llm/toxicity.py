@@ -82,7 +82,7 @@ class Landmarks:
         self.table = np.zeros((len(known) + 1, len(words)), np.float32)
         np.add.at(self.table, (at + 1, own), weight / norm[own])
 
-    def kernel(self, words: list[str], block: int = 20_000) -> np.ndarray:
+    def kernel(self, words: list[str], block: int = 4_000) -> np.ndarray:
         """Kernel values, a row a word; values whose base is under LEAST_BASE are zero."""
         out = np.zeros((len(words), len(self.words)), np.float32)
         for s in range(0, len(words), block):
@@ -94,8 +94,8 @@ class Landmarks:
             shared = np.sqrt(np.bincount(own[some], weights=weight[some] ** 2, minlength=len(part))) / norm
             some = some[shared[own[some]] >= LEAST_BASE]
             order = some[np.argsort(own[some], kind="stable")]
-            for at in range(0, len(order), 200_000):  # a few words whose occurrences straddle a cut add up
-                o = order[at : at + 200_000]
+            for at in range(0, len(order), 40_000):  # a few words whose occurrences straddle a cut add up
+                o = order[at : at + 40_000]
                 rows = self.table[row[o]] * (weight[o] / norm[own[o]]).astype(np.float32)[:, None]
                 starts = np.flatnonzero(np.diff(own[o], prepend=-1))
                 out[s + own[o][starts]] += np.add.reduceat(rows, starts, axis=0)
@@ -154,7 +154,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 class WordValues:
     """The machine's value of each token, remembered for the first `remember` tokens met."""
 
-    def __init__(self, landmarks: Landmarks, values: np.ndarray, remember: int = 500_000):
+    def __init__(self, landmarks: Landmarks, values: np.ndarray, remember: int = 250_000):
         self.landmarks, self.values = landmarks, values
         self._known: dict[str, float] = {}
         self._room = remember
