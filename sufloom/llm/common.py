@@ -91,6 +91,13 @@ def prefix_offsets(counts: DataFrame, part: str, value: str, out: str) -> DataFr
     return counts.select(part, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long").alias(out))
 
 
+def slices(batches, rows: int = 1000):
+    """The stream's batches in parts of at most `rows` rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def null_as_empty(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

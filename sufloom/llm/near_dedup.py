@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sufloom.llm.common import components, cut, semi_join_ids
+from sufloom.llm.common import components, cut, semi_join_ids, slices
 from sufloom.llm.wordhash import mix, shingle_sets
 
 SKETCH_WORDS = 16  # 1024 bits
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, width: int = 2, bands: int = 32, rows: int = 5)
     """One row per document: doc_id, n_shingles, fingerprint (h1, h2), bands (band keys) and sketch; the last two are null for an empty set."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2000):
             texts = batch.column("text").to_pylist()
             sets = list(shingle_sets(texts, width))
             lens = np.fromiter((len(s) for s in sets), np.int64, len(sets))

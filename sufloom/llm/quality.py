@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sufloom.llm.common import cut
+from sufloom.llm.common import cut, slices
 from sufloom.llm.token_output import texts_of
 
 FEATURES = (
@@ -70,7 +70,7 @@ def statistics(text: str | None) -> list[float]:
 
 def features(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "x"])
@@ -160,7 +160,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, **options) -
     model = train(cut(features(docs), "quality-features"), labels, held_out, **options)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= 0.5))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sufloom.llm.common import cut, least_hashed
+from sufloom.llm.common import cut, least_hashed, slices
 from sufloom.llm.token_output import texts_of
 
 SPAN, DECAY, POWER = 5, 0.6, 4
@@ -269,7 +269,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, **optio
     scorer = train(docs, labels, held_out, **options)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             scores = scorer.score(texts) if scorer else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
@@ -285,7 +285,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, held_out: Column, **options)
         return docs
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(scorer.score(batch.column("text").to_pylist()) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
