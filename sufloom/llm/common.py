@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,11 +92,25 @@ def prefix_offsets(counts: DataFrame, part: str, value: str, out: str) -> DataFr
     return counts.select(part, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long").alias(out))
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """make(), kept in this Python process until another key is asked for: later tasks find a model and the words it has
+    met, and a process that serves many stages holds one model at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def slices(batches, rows: int = 1000):
-    """The stream's batches in parts of at most `rows` rows, so that few texts are Python objects at once."""
+    """The stream's batches in parts of at most `rows` rows, so that few texts are Python objects at once; at the end
+    Arrow's unused memory goes back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def null_as_empty(c: str) -> Column:

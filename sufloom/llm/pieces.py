@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sufloom.llm.common import cut
+from sufloom.llm.common import cut, held
 from sufloom.llm.token_output import texts_of
 
 MARK = "▁"
@@ -134,10 +134,9 @@ class Pieces:
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-@functools.lru_cache(maxsize=2)
 def pieces_of(path: str) -> Pieces:
     """One table for each Python process."""
-    return Pieces(path)
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:

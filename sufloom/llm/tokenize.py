@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import sys
 from array import array
 
 import numpy as np
 
+from sufloom.llm.common import held
+
 _TAIL = ".,!?;:"  # a run of these behind letters is a part of its own
 
 
@@ -75,7 +76,6 @@ class SegmentEncoder:
         return [self.encode(t) for t in texts]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> SegmentEncoder:
     """One encoder for each Python process, so that later tasks find the words of earlier ones."""
-    return SegmentEncoder(path)
+    return held(("encoder", path), lambda: SegmentEncoder(path))

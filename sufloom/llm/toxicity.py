@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sufloom.llm.common import cut, least_hashed, slices
+from sufloom.llm.common import cut, held, least_hashed, slices
 from sufloom.llm.token_output import texts_of
 
 SPAN, DECAY, POWER = 5, 0.6, 4
@@ -154,7 +154,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 class WordValues:
     """The machine's value of each token, remembered for the first `remember` tokens met."""
 
-    def __init__(self, landmarks: Landmarks, values: np.ndarray, remember: int = 250_000):
+    def __init__(self, landmarks: Landmarks, values: np.ndarray, remember: int = 150_000):
         self.landmarks, self.values = landmarks, values
         self._known: dict[str, float] = {}
         self._room = remember
@@ -192,11 +192,7 @@ class Scorer:
         self.words, self.values, self.curve = words, values, curve
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        key = (tuple(self.words), self.values.tobytes())
-        if key not in _IN_PROCESS:  # one for each Python process, so that later tasks find the words of earlier ones
-            _IN_PROCESS.clear()
-            _IN_PROCESS[key] = WordValues(Landmarks(self.words), self.values)
-        own = _IN_PROCESS[key]
+        own = held((tuple(self.words), self.values.tobytes()), lambda: WordValues(Landmarks(self.words), self.values))
         return np.concatenate([np.zeros((0, 3)), *(own.evidence(texts[at : at + 500]) for at in range(0, len(texts), 500))])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -205,9 +201,6 @@ class Scorer:
         return np.where(x.any(axis=1), s, 0.0)
 
 
-_IN_PROCESS: dict = {}
-
-
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = 2000, landmarks: int = 128, per_document: int = 3, least_lift: float = 4.0) -> Scorer | None:
     """The scorer, or None where the labelled rows teach nothing. labels: doc_id and label (0 or 1); held_out: of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out)
