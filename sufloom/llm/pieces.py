@@ -58,6 +58,7 @@ class Pieces:
         self.unk = model.unk_id()
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.table)
         self._known: dict[str, list[int]] = {}
+        self._scores: dict[str, float] = {}
         self._room = remember
 
     def normalize(self, text: str | None) -> str:
@@ -105,8 +106,28 @@ class Pieces:
             out += ids
         return out
 
+    def best_score(self, word: str) -> float:
+        """Score of the best path over a word, remembered."""
+        found = self._scores.get(word)
+        if found is None:
+            found = float(self.between(word, len(word))[0, 0])
+            if len(self._scores) < self._room:
+                self._scores[word] = found
+        return found
+
     def transfer(self, text: str, n: int) -> np.ndarray:
-        """Transfer matrix of the chunk text[:n]; text goes on for up to width - 1 characters beyond it."""
+        """Transfer matrix of the chunk text[:n]; text goes on for up to width - 1 characters beyond it. Where words are
+        apart, all paths meet at the chunk's first and last word start, and the matrix is a sum of two vectors."""
+        starts = [m.start() for m in _START.finditer(text, 0, n)] if self.words_apart else []
+        if not starts:
+            return self.between(text, n)
+        first, last = starts[0], starts[-1]
+        head = self.between(text[:first], first)[:, 0]
+        middle = sum(map(self.best_score, _WORD.findall(text[first:last])))
+        return head[:, None] + middle + self.between(text[last:], n - last)[0][None, :]
+
+    def between(self, text: str, n: int) -> np.ndarray:
+        """transfer() by way of all positions."""
         w = self.width
         best = np.full((n + w, w), NEVER)  # best[e, i]: path from position i to position e
         best[np.arange(min(w, n + w)), np.arange(min(w, n + w))] = 0
@@ -131,6 +152,7 @@ class Pieces:
         return raw[1:] if raw[:1] == " " else raw
 
 
+_START = re.compile(f"(?<=[^{MARK}]){MARK}")
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
