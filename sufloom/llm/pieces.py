@@ -57,15 +57,33 @@ class Pieces:
         self.width = max(map(len, self.table))
         self.unk = model.unk_id()
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.table)
-        self._known: dict[str, list[int]] = {}
-        self._scores: dict[str, float] = {}
+        self._known: dict[str, tuple[float, list[int]]] = {}
         self._room = remember
 
     def normalize(self, text: str | None) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
     def ids_between(self, text: str, start: int, end: int) -> list[int]:
-        """Ids of the best path over text[start:end]; of equal paths, the one whose last pieces are longest."""
+        """Ids of the best path over text[start:end], word by word where words are apart."""
+        starts = [m.start() for m in _START.finditer(text, start, end) if m.start() > start] if self.words_apart else []
+        if not starts:
+            return self.path_between(text, start, end)[1]
+        out = list(self.path_between(text, start, starts[0])[1])
+        for word in _WORD.findall(text[starts[0] : starts[-1]]):
+            out += self.word(word)[1]
+        return out + self.path_between(text, starts[-1], end)[1]
+
+    def word(self, word: str) -> tuple[float, list[int]]:
+        """Score and ids of a word's best path, remembered."""
+        found = self._known.get(word)
+        if found is None:
+            found = self.path_between(word, 0, len(word))
+            if len(self._known) < self._room:
+                self._known[word] = found
+        return found
+
+    def path_between(self, text: str, start: int, end: int) -> tuple[float, list[int]]:
+        """Score and ids of the best path over text[start:end]; of equal paths, the one whose last pieces are longest."""
         n = end - start
         best, last = [0.0] + [NEVER] * n, [0] * (n + 1)
         kind = [-1] * (n + 1)
@@ -87,7 +105,7 @@ class Pieces:
             a = last[b]
             out.append([kind[b]] if kind[b] >= 0 else self.spelt(text[start + a]))
             b = a
-        return [i for x in reversed(out) for i in x]
+        return best[n], [i for x in reversed(out) for i in x]
 
     def spelt(self, char: str) -> list[int]:
         return [self.byte_id.get(x, self.unk) for x in char.encode()] if self.byte_id else [self.unk]
@@ -98,23 +116,9 @@ class Pieces:
             return self.ids_between(whole, 0, len(whole))
         out: list[int] = []
         for word in _WORD.findall(whole):
-            ids = self._known.get(word)
-            if ids is None:
-                ids = self.ids_between(word, 0, len(word))
-                if len(self._known) < self._room:
-                    self._known[word] = ids
-            out += ids
+            out += self.word(word)[1]
         return out
 
-    def best_score(self, word: str) -> float:
-        """Score of the best path over a word, remembered."""
-        found = self._scores.get(word)
-        if found is None:
-            found = float(self.between(word, len(word))[0, 0])
-            if len(self._scores) < self._room:
-                self._scores[word] = found
-        return found
-
     def transfer(self, text: str, n: int) -> np.ndarray:
         """Transfer matrix of the chunk text[:n]; text goes on for up to width - 1 characters beyond it. Where words are
         apart, all paths meet at the chunk's first and last word start, and the matrix is a sum of two vectors."""
@@ -123,7 +127,7 @@ class Pieces:
             return self.between(text, n)
         first, last = starts[0], starts[-1]
         head = self.between(text[:first], first)[:, 0]
-        middle = sum(map(self.best_score, _WORD.findall(text[first:last])))
+        middle = sum(self.word(w)[0] for w in _WORD.findall(text[first:last]))
         return head[:, None] + middle + self.between(text[last:], n - last)[0][None, :]
 
     def between(self, text: str, n: int) -> np.ndarray:
