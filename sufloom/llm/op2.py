@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sufloom.llm.pieces import digests, encode
+from sufloom.llm.merges import encode
+from sufloom.llm.pieces import digests
 
 NAME = "op2_sentencepiece"
 MODEL = "piece_bpe_32k.model"

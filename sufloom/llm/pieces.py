@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding: the segmentation of greatest total score, by a max-plus parallel scan.
 
-Encoding follows the unigram rules over a model file's pieces and scores: the best path over all pieces, an unknown
+Encoding follows the unigram rules over a model file's pieces and scores, whatever its type: the best path over all pieces, an unknown
 character at the least score minus 10 and then as its bytes. In a model whose pieces
-hold the space mark only at their start, paths restart at each word, so a word is solved once and remembered.
+hold the space mark only at their start, paths restart at each word, so a word is solved once and remembered. A merge
+(BPE) file's own segmentation is another one: see sufloom.llm.merges, whose encode() follows the file's type.
 
 A document of more than `giant` characters is split into chunks of `chunk` characters, which tasks solve apart: for each
 number of characters that a piece begun before may reach into the chunk, and each number that the chunk's last piece may
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sufloom.llm.common import cut, held
+from sufloom.llm.common import cut, held, slices
 from sufloom.llm.token_output import texts_of
 
 MARK = "▁"
@@ -59,6 +60,7 @@ class Pieces:
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.table)
         self._known: dict[str, tuple[float, list[int]]] = {}
         self._room = remember
+        self.merges = None  # of sufloom.llm.merges
 
     def normalize(self, text: str | None) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -269,13 +271,14 @@ def digests(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_crc32 (of the decoded text as UTF-8)."""
 
     def run(batches):
-        for batch in batches:
+        own = pieces_of(model)
+        for batch in slices(batches, 500):
             ids = batch.column("ids")
             lens = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(lens)]) * 4
-            raw = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            text = [zlib.crc32(t.encode()) for t in batch.column("text").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum(lens)])
+            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+            text = [zlib.crc32(own.decode(flat[a:b]).encode()) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lens), pa.array(crc, pa.int64()), pa.array(text, pa.int64())], names=["doc_id", "n_tokens", "ids_crc32", "decoded_crc32"])
 
-    return decode(encoded, model).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long")
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long")

@@ -184,3 +184,22 @@ def test_giant_documents_and_round_trip(docs_of):
         assert r["ids"] == want or abs(score(own, t, r["ids"]) - score(own, t, want)) < 1e-3
 
 
+
+
+def test_merge_model_equals_the_library_on_the_unchanged_file(spark, sf, docs_of):
+    from sentencepiece import SentencePieceProcessor
+    from sufloom.llm import merges
+
+    path = public_tokenizers.path(op2.MODEL)
+    library, own = SentencePieceProcessor(model_file=path), merges.Merges(path)
+    rng = random.Random(3)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["des Elle", " " * 90, "x" * 700, "▁ a▁▁", "<s> a </s> <0x41>", "”, x….", "\x00a", *ODD]
+    texts += ["".join(rng.choice("ab tehins  \n\té☃▁日本xX.=-’,") for _ in range(rng.randrange(300))) for _ in range(500)]
+    want = [library.encode(t) for t in texts]
+    assert [own.encode(t) for t in texts] == want
+    for giant, chunk in ((32_768, 8_192), (50, 7)):
+        got = merges.encode(docs_of(texts, extra=True), path, giant, chunk).orderBy("doc_id").collect()
+        assert [r["ids"] for r in got] == want
+    rows = pieces.digests(merges.encode(docs_of(texts), path), path).orderBy("doc_id").collect()
+    assert [(r["n_tokens"], r["ids_crc32"], r["decoded_crc32"]) for r in rows] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes()), zlib.crc32(t.replace("▁", " ").encode())) for t, x in zip(texts, want)]
