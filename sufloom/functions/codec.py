@@ -5,7 +5,7 @@ Only ASCII letters change case; a byte of another script is N. All expressions g
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,9 +33,23 @@ def sequence_key(text: Column) -> Column:
     return F.coalesce(F.conv(F.translate(to_codes(text), "4", "0"), 4, 10).cast("long"), F.when(text.isNotNull(), F.lit(0).cast("long")))
 
 
-def sequence_of(key: Column, size: int) -> Column:
+def sequence_of(key: Column, size: int | Column) -> Column:
     """The text of `size` characters whose sequence_key is key."""
-    return F.translate(F.lpad(F.conv(key.cast("string"), 10, 4), size, "0"), "0123", "ACGT")
+    return F.translate(F.lpad(F.conv(key.cast("string"), 10, 4), F.lit(size) if isinstance(size, int) else size, F.lit("0")), "0123", "ACGT")
+
+
+WINDOW = 31  # characters that a key holds
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """seq_id, w, s: the whole of each text as consecutive windows of at most WINDOW characters, cut from chunks as
+    suffixes are. An empty text is one empty window."""
+    size = 64 * WINDOW
+    text = F.coalesce(F.col("text"), F.lit(""))
+    starts = texts.select("seq_id", text.alias("text"), F.explode(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))).alias("start"))
+    chunks = starts.select("seq_id", "start", F.substring(F.col("text"), F.col("start") + 1, F.lit(size)).alias("chunk"))
+    each = chunks.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.length("chunk") - 1, F.lit(0)), F.lit(WINDOW))).alias("i"))
+    return each.select("seq_id", F.expr(f"(start + i) div {WINDOW}").alias("w"), F.substring(F.col("chunk"), F.col("i") + 1, F.lit(WINDOW)).alias("s"))
 
 
 def reverse_complement(text: Column) -> Column:

@@ -113,8 +113,22 @@ def normalize_dna(spark, sf_dir):
 def codec_hash_roundtrip(spark, sf_dir):
     cut = turns(spark, sf_dir).select("seq_id", F.substring("text", 1, 20).alias("s"))
     keyed = cut.select("seq_id", "s", codec.sequence_key(F.col("s")).alias("key"))
-    back = F.when(F.length("s") > 0, F.translate(F.lpad(F.conv(F.col("key").cast("string"), 10, 4), F.length("s"), F.lit("0")), "0123", "ACGT")).otherwise("")
-    return keyed.select("seq_id", "key", back.alias("back"))
+    return keyed.select("seq_id", "key", codec.sequence_of(F.col("key"), F.length("s")).alias("back"))
+
+
+@query(
+    f"""WITH {SQL_TURNS}, cut AS (SELECT seq_id, u.w AS w, substr(text, u.w * 31 + 1, 31) AS s FROM texts, unnest(range(0, greatest(length(text) - 1, 0) // 31 + 1)) AS u(w)),
+    keyed AS (SELECT seq_id, w, CAST(coalesce(list_sum(list_transform(range(1, length(s) + 1), lambda i: (instr('ACGT', substr(s, i, 1)) - 1) * CAST(pow(4, length(s) - i) AS BIGINT))), 0) AS BIGINT) AS key FROM cut),
+    sums AS (SELECT seq_id, count(*) AS windows, CAST(sum((w + 1) * (key % 1000003) % 1000003) AS BIGINT) AS checksum FROM keyed GROUP BY seq_id)
+    SELECT seq_id, windows, checksum, length(text) AS n, md5(text) AS digest FROM sums JOIN texts USING (seq_id)"""
+)
+def codec_text_roundtrip(spark, sf_dir):
+    """Whole texts, packed by windows and unpacked again: a checksum of the keys, and the digest of what comes back."""
+    keyed = codec.windows(turns(spark, sf_dir)).select("seq_id", "w", F.length("s").alias("size"), codec.sequence_key(F.col("s")).alias("key"))
+    back = keyed.select("seq_id", "w", "key", codec.sequence_of(F.col("key"), F.col("size")).alias("s"))
+    parts = F.array_sort(F.collect_list(F.struct("w", "s")))
+    whole = back.groupBy("seq_id").agg(F.count("*").alias("windows"), F.sum((F.col("w") + 1) * (F.col("key") % 1000003) % 1000003).alias("checksum"), F.array_join(parts["s"], "").alias("text"))
+    return whole.select("seq_id", "windows", "checksum", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
 @query(f"WITH {SQL_TURNS} SELECT seq_id, md5(reverse(translate(text, 'ACGT', 'TGCA'))) AS digest FROM texts")

@@ -36,3 +36,18 @@ def test_ordinals(spark):
     rows = spark.range(1, 124).select("id", codec.ordinal(F.col("id")).alias("o")).collect()
     at = {r["id"]: r["o"] for r in rows}
     assert [at[i] for i in (1, 2, 3, 4, 11, 12, 13, 19, 21, 22, 101, 111, 112, 123)] == ["1st", "2nd", "3rd", "4th", "11th", "12th", "13th", "19th", "21st", "22nd", "101st", "111th", "112th", "123rd"]
+
+
+def test_windows_pack_and_unpack_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    from sufloom.functions import codec
+
+    texts = ["", "T", "ACGT" * 8, "T" * 31, "T" * 32, "GATTACA" * 700, "A" * 1984 + "C"]
+    rows = codec.windows(spark.createDataFrame(list(enumerate(texts)), "seq_id long, text string"))
+    rows = rows.select("seq_id", "w", codec.sequence_of(codec.sequence_key(F.col("s")), F.length("s")).alias("s")).collect()
+    back = {}
+    for r in sorted(rows):
+        assert len(r["s"]) <= 31 and r["w"] == len(back.setdefault(r["seq_id"], []))
+        back[r["seq_id"]].append(r["s"])
+    assert ["".join(back[i]) for i in range(len(texts))] == texts
