@@ -262,6 +262,16 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
 
 
 def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stand for their component; of rows with one doc_id and equal texts, one stays. Columns as in docs."""
-    keep = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One row of docs for each component, columns as in docs.
+
+    Rows are told apart by a key written beforehand, never by doc_id: repeated ids with different texts and null ids are
+    linked like any others. The row with the least doc_id stays, null ids last; of equal ids, the one with the least hash
+    of its text. A row with an empty set stays, but once for each non-null doc_id and text.
+    """
+    row = "near_dedup_row"
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(row), "component_id")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.xxhash64("text").alias("hash"), F.col(row))
+    keep = keyed.select(row, least.alias("least")).join(found, row).groupBy("component_id").agg(F.min("least").alias("least")).select(F.col(f"least.{row}").alias(row))
+    lone = keyed.join(keep, row, "left_semi").withColumn(row, F.when(F.col("doc_id").isNull(), F.col(row)))
+    return lone.dropDuplicates(["doc_id", "text", row]).select(*docs.columns)

@@ -42,3 +42,43 @@ def test_run_is_the_stages_in_order(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "secrets", "packing"]
     full = out.groupBy("sequence_id").sum("length").toDF("s", "n")
     assert full.where("n > 1024").count() == 0 and full.count() > 10
+
+
+def test_near_dedup_stage_decides_by_row(spark):
+    """Null and repeated ids, against brute force over the rows."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(100)]
+        for n in range(rng.randrange(1, 5)):
+            text = base[:] if n % 2 else base[:-1] + [rng.choice(words)]
+            rows.append((rng.choice([None, rng.randrange(12)]), " ".join(text)))
+    rows += [(None, ""), (None, ""), (3, ""), (3, ""), (None, None), (7, rows[0][1]), (7, rows[5][1])]
+
+    def shingles(text):
+        w = (text or "").split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    groups = {}
+    for x, r, s in zip(label, rows, sets):
+        if s:
+            groups.setdefault(x, []).append(r)
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(r[0] is None for r in got if not r[1]) == [False, True, True, True]
+    full = [r for r in got if r[1]]
+    assert len(full) == len(groups) and any(r[0] is None for r in full)
+    for g in groups.values():
+        inside = [r for r in full if r in g]
+        known = [i for i, _ in g if i is not None]
+        assert len(inside) == 1 and inside[0][0] == (min(known) if known else None)
