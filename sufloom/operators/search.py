@@ -2,7 +2,9 @@
 
 patterns are rows (pattern_id, pattern). A suffix matches if it begins with the pattern: an equi-join on as many first
 characters as a pattern has, for each length that occurs, so a suffix is never compared with every pattern.
-Patterns with other characters than A, C, G, T (or longer than the indexed prefix) match nothing here; see `verified`.
+Patterns with other characters than A, C, G, T match nothing here. A pattern longer than the indexed prefix goes on by
+equi-joins with the array: its next characters must stand at the match's position + `indexed`, + 2 * `indexed`, ...;
+for that, p must hold `indexed` characters of each suffix, or all that it has. An empty pattern matches nothing.
 """
 
 from __future__ import annotations
@@ -16,11 +18,28 @@ SMALL = 100_000  # patterns; up to so many are broadcast
 
 
 def matches(patterns: DataFrame, sa: DataFrame, indexed: int = 32) -> DataFrame:
-    """pattern_id, pattern, seq_id, r, pos of every match."""
-    lengths = sorted(r["l"] for r in patterns.select(F.length("pattern").alias("l")).where(F.col("l").between(1, indexed)).distinct().collect())  # at most `indexed` numbers
+    """pattern_id, pattern, seq_id, r, pos of every match, for patterns of any length."""
+    longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
+    if longest <= indexed:
+        return _short(patterns, sa, indexed)
+    long = patterns.where(F.length("pattern") > indexed)
+    hits = _short(long.select("pattern_id", "pattern", F.substring("pattern", 1, indexed).alias("head")), sa, indexed, "head")
+    for at in range(indexed, longest, indexed):
+        ended = hits.where(F.length("pattern") <= at)
+        part = F.substring(F.col("pattern"), F.lit(at + 1), F.lit(indexed))
+        ahead = hits.where(F.length("pattern") > at).withColumns({"part": part, "there": F.col("pos") + at})
+        there = sa.select("seq_id", F.col("pos").alias("there"), "p")
+        hits = ended.unionByName(ahead.join(there, ["seq_id", "there"]).where(F.startswith("p", "part")).drop("part", "there", "p"))
+    return _short(patterns.where(F.length("pattern") <= indexed), sa, indexed).unionByName(hits)
+
+
+def _short(patterns: DataFrame, sa: DataFrame, indexed: int, by: str = "pattern") -> DataFrame:
+    """matches() of the patterns' column `by`, of at most `indexed` characters."""
+    patterns = patterns.select("pattern_id", "pattern", F.col(by).alias("key"))
+    lengths = sorted(r["l"] for r in patterns.select(F.length("key").alias("l")).where(F.col("l").between(1, indexed)).distinct().collect())  # at most `indexed` numbers
     if not lengths:
         return patterns.where(F.lit(False)).select("pattern_id", "pattern", *(F.lit(None).cast("long").alias(c) for c in ("seq_id", "r", "pos")))
-    own = patterns.where(F.length("pattern").between(1, indexed)).select("pattern_id", "pattern", F.col("pattern").alias("key"))
+    own = patterns.where(F.length("key").between(1, indexed))
     if patterns.count() <= SMALL:
         own = F.broadcast(own)
     # The array is read once: each suffix offers a key for each length, and keys of one length equal patterns of that length only.
@@ -36,7 +55,10 @@ def count(patterns: DataFrame, sa: DataFrame, indexed: int = 32) -> DataFrame:
 
 
 def ranges(patterns: DataFrame, sa: DataFrame, indexed: int = 32) -> DataFrame:
-    """pattern_id, seq_id, beg, end: the rows of each pattern's matches in each text with any."""
+    """pattern_id, seq_id, beg, end: the rows of each pattern's matches in each text with any. An array ordered by
+    `indexed` characters has no such range for a longer pattern: an error."""
+    if (patterns.agg(F.max(F.length("pattern"))).first()[0] or 0) > indexed:
+        raise ValueError(f"the matches of patterns of more than {indexed} characters are no range of rows; see matches()")
     return matches(patterns, sa, indexed).groupBy("pattern_id", "seq_id").agg(F.min("r").alias("beg"), (F.max("r") + 1).alias("end"))
 
 
