@@ -407,3 +407,33 @@ def index_save_load(spark, sf_dir):
     sa = materialize(array_of(turns(spark, sf_dir)), "sa")
     files.save_index(index.build_tables(sa), path)
     return files.load_index(spark, path)["lookup"]
+
+
+@query(
+    with_sa(
+        SQL_TURNS,
+        """SELECT seq_id, part, count(*) AS n, md5(string_agg(line, ',' ORDER BY k)) AS digest FROM (
+          SELECT seq_id, 'sa' AS part, CAST(r AS BIGINT) AS k, r || ' ' || pos || ' ' || p || ' ' || coalesce(bwt, '$') AS line FROM sa
+          UNION ALL SELECT seq_id, 'c_table', 0, (n + 1) || ' 1 ' || (1 + a) || ' ' || (1 + a + c) || ' ' || (1 + a + c + g) FROM letters
+          UNION ALL SELECT seq_id, 'sampled', r, r || ' ' || pos FROM sa WHERE pos % 4 = 0
+          UNION ALL SELECT seq_id, 'bitmap', b, b || ' ' || n || ' ' || CAST(coalesce(sum(n) OVER (PARTITION BY seq_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) FROM blocks
+          UNION ALL SELECT seq_id, 'lookup', min(r), substr(p, 1, 4) || ' ' || min(r) || ' ' || (max(r) + 1) FROM sa WHERE length(p) >= 4 GROUP BY seq_id, substr(p, 1, 4))
+        GROUP BY seq_id, part""",
+        32,
+        "letters AS (SELECT seq_id, length(text) AS n, length(text) - length(replace(text, 'A', '')) AS a, length(text) - length(replace(text, 'C', '')) AS c, length(text) - length(replace(text, 'G', '')) AS g FROM texts)",
+        "blocks AS (SELECT seq_id, r // 64 AS b, count(*) FILTER (WHERE pos % 4 = 0) AS n FROM sa GROUP BY seq_id, r // 64)",
+    )
+)
+def index_tables_save_load(spark, sf_dir):
+    """Each of the five saved tables as read back: rows and a digest of all columns for each text."""
+    path = new_path(spark, "index")
+    files.save_index(index.build_tables(materialize(array_of(turns(spark, sf_dir)), "sa")), path)
+    keys = {"sa": "r", "c_table": "n", "sampled": "r", "bitmap": "b", "lookup": "beg"}
+    columns = {"sa": ["r", "pos", "p", "bwt"], "c_table": ["n", "c_A", "c_C", "c_G", "c_T"], "sampled": ["r", "pos"], "bitmap": ["b", "n", "before"], "lookup": ["kmer", "beg", "end"]}
+    out = None
+    for part, loaded in files.load_index(spark, path, tuple(keys)).items():
+        line = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("$")) for c in columns[part]))
+        lines = F.array_sort(F.collect_list(F.struct(F.col(keys[part]).alias("k"), line.alias("line"))))
+        rows = loaded.groupBy("seq_id").agg(F.count("*").alias("n"), F.md5(F.array_join(lines["line"], ",")).alias("digest")).select("seq_id", F.lit(part).alias("part"), "n", "digest")
+        out = rows if out is None else out.unionByName(rows)
+    return out
