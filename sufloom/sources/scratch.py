@@ -11,11 +11,15 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests) a temporary folder."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir of the session, or the folder given to setCheckpointDir. Where neither is set, a local master
+    (tests) gets a temporary folder; on a cluster that is an error, as executors would each write to a disk of their own."""
+    context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     return _OWN[app]
@@ -26,6 +30,23 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    path = new_path(df.sparkSession, label)
+    """Write df as Parquet into the shared folder and read it back: the lineage ends there, and no executor holds the only copy."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def partitions_of(table: DataFrame, growth: float = 1.0) -> int:
+    """Partitions for a shuffle of a materialized table, or of `growth` times its rows: as many as Spark cuts its files
+    into by their bytes, and the session's shuffle partitions at least."""
+    return max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(growth * table.rdd.getNumPartitions()))
