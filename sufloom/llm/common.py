@@ -1,39 +1,29 @@
-"""What several operators share: the shared folder, cutting lineage, connected components, exact ranks."""
+"""What several operators share: cutting lineage, connected components, samples, what a Python process keeps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OWN_FOLDERS: dict[str, str] = {}
+from sufloom.sources.scratch import discard, materialize as cut, new_path, partitions_of  # noqa: F401
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_FOLDERS:
-        _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return _OWN_FOLDERS[app]
 
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+def small_batches(df: DataFrame, most: str = "4m") -> DataFrame:
+    """df; from here on its session hands at most so many bytes at once to Python, so that long texts don't fill the
+    memory of a task's two processes. A session with a setting of its own keeps it."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_BYTES, most)
+    return df
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the lineage ends there and no executor holds the only copy."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+DEFAULT_BATCH = f"{64 << 20}b"
 
 
 def semi_join_ids(rows: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -56,6 +46,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     parents = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "parents")
     seen = None
     for _ in range(max_rounds):
+        old = parents
         up = parents.select(F.col("node").alias("label"), F.col("label").alias("grand"))
         grand = parents.join(up, "label")
         near = both.join(grand.select(F.col("node").alias("b"), "grand"), "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("least"))
@@ -69,19 +60,25 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         )
         parents = cut(offers.select("x.node", "x.label").groupBy("node").agg(F.min("label").alias("label")), "parents")
         now = parents.agg(F.bit_xor(F.xxhash64("node", "label")), F.count("*")).first()
+        discard(old)
         if now == seen:
+            discard(both)
             return parents
         seen = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def least_hashed(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """The n rows of least hash of key, ties to the lesser key: a sample that doesn't depend on order or partitions. Of a
-    large table only about 4n rows, those under a hash bound, reach the sort."""
-    total, h = rows.count(), F.xxhash64(key)
-    if total > 8 * n:
-        rows = rows.where(h < -(2**63) + int(2**64 * 4 * n / total))
-    return rows.orderBy(h, key).limit(n)
+    """The n distinct non-null values of key with the least hashes: a sample that doesn't depend on order, partitions or
+    how often a value is repeated. Of many values only about 4n, those under a hash bound, reach the sort; where the
+    bound, set by an estimate of their number, lets fewer than n through, all do."""
+    values, h = rows.where(F.col(key).isNotNull()).select(key), F.xxhash64(key)
+    about = values.agg(F.approx_count_distinct(key, 0.05)).first()[0]
+    if about > 8 * n:
+        some = values.where(h < -(2**63) + int(2**64 * 4 * n / about)).distinct()
+        if some.limit(n).count() == n:
+            values = some
+    return values.distinct().orderBy(h, key).limit(n)
 
 
 def prefix_offsets(counts: DataFrame, part: str, value: str, out: str) -> DataFrame:
@@ -100,10 +97,32 @@ def held(key, make):
     met, and a process that serves many stages holds one model at a time."""
     if key not in _HELD:
         _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _HELD[key] = make()
     return _HELD[key]
 
 
+class Remembered(dict):
+    """solve(word) of each word asked for. A word met again stays, up to `most` bytes in all by an estimate of what an
+    entry takes; most words of a large corpus are met once. Words of more than `longest` characters don't stay."""
+
+    def __init__(self, solve, most: int = 40 << 20, longest: int = 64):
+        super().__init__()
+        self.solve, self.room, self.longest = solve, most, longest
+        self.met = bytearray(1 << 20)
+
+    def __missing__(self, word):
+        found = self.solve(word)
+        if self.room > 0 and len(word) <= self.longest:
+            at = hash(word) & 0xFFFFF
+            if self.met[at]:
+                self.room -= 170 + len(word) + (len(found) if isinstance(found, bytes) else 0)
+                self[word] = found
+            self.met[at] = 1
+        return found
+
+
 def slices(batches, rows: int = 1000):
     """The stream's batches in parts of at most `rows` rows, so that few texts are Python objects at once; at the end
     Arrow's unused memory goes back."""

@@ -1,28 +1,39 @@
-"""Token ids of many texts by a byte-level BPE of the tokenizers library, a distinct word being encoded once."""
+"""Token ids of many texts by a byte-level BPE of the tokenizers library; parts met again aren't encoded again.
+
+Defined results: a null or empty text has no ids. A text of any length is encoded whole; what is remembered is bounded by
+bytes, and parts of more than 64 characters are not.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 from array import array
 
 import numpy as np
 
-from sufloom.llm.common import held
+from sufloom.llm.common import Remembered, held
 
-_TAIL = ".,!?;:"  # a run of these behind letters is a part of its own
+# The parts that a byte-level BPE of this kind encodes one by one, over the characters that _OTHER leaves.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_PARTS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+# Texts with other characters than ASCII, Latin letters and common marks are left to the library, as are numerals that
+# are no digits, and separators that languages' regular expressions count differently.
+_OTHER = re.compile("[\x1c-\x1f\x80-\xa0²³¹¼½¾]|[^\x00-ɏ‐-‧‰-⁞€]")
+_PROBE = "It's 3 words,  well -- 'll über\n\n\tœuvre: x_1 I've…\n"
 
 
 class SegmentEncoder:
     """Encodes texts as tokenizers.Tokenizer.encode(text, add_special_tokens=False) does.
 
-    A byte-level BPE first splits a text so that a space before a non-space character always begins a new part, and
-    encodes the parts one by one. So a text is cut before such spaces; a segment's ids come from the library's own
-    pre-tokenizer and model and are remembered, for the first `remember` segments and parts met. Texts in
-    which an added token's string occurs, or a space before white space or the end, are encoded whole.
+    A byte-level BPE splits a text into parts (words with the space before them, numbers, marks, white space) and encodes
+    each apart. The parts' ids come from the library's own pre-tokenizer and model and are remembered, up to `most` bytes.
+    Texts in which an added token's string or an unusual character occurs are encoded whole by the library, and so are
+    all if its parts are others than expected here.
     """
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, most: int = 60 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -31,45 +42,28 @@ class SegmentEncoder:
         self._split, self._model = self._own.pre_tokenizer.pre_tokenize_str, self._own.model.tokenize
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("ids are written as this machine's unsigned integers, which must be little-endian with 32 bits")
-        self._room = remember
-        self._after_space: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._usual = [_PROBE[a:b] for _, (a, b) in self._split(_PROBE)] == _PARTS.findall(_PROBE) and self._own.normalizer is None
+        # How the pre-tokenizer writes the bytes of a letter, as seen on one letter with each byte; other parts are left to it.
+        self._spelt = {}
+        for c in map(chr, [*range(32, 127), *range(0xC0, 0x250)]) if self._usual else ():
+            written = "".join([x for x, _ in self._split(c)])
+            self._spelt |= dict(zip(c.encode(), written)) if len(written) == len(c.encode()) else {}
+        self._parts = Remembered(self._part, most)
 
     def _part(self, part: str) -> bytes:
-        ids = self._parts.get(part)
-        if ids is None:
-            ids = array("I", [t.id for t in self._model(part)]).tobytes()
-            if len(self._parts) < self._room:
-                self._parts[part] = ids
-        return ids
-
-    def _segment(self, text: str) -> bytes:
-        if text[0] == " ":  # a space and ASCII letters are one part, in which the space is written as one letter
-            core = text[1:].rstrip(_TAIL)
-            if core.isascii() and core.isalpha():
-                tail = text[1 + len(core) :]
-                return self._part("\u0120" + core) + (self._part(tail) if tail else b"")
-        return b"".join([self._part(part) for part, _ in self._split(text)])
+        known = self._spelt
+        try:
+            spelt = ["".join([known[b] for b in part.encode()])]
+        except KeyError:
+            spelt = [x for x, _ in self._split(part)]
+        return b"".join([array("I", [t.id for t in self._model(x)]).tobytes() for x in spelt])
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; none for a null or empty text."""
         if not text:
             return b""
-        if not any(a in text for a in self._added):
-            known = self._after_space
-            head, *rest = text.split(" ")
-            found = list(map(known.get, rest))
-            if None in found:
-                for i, ids in enumerate(found):
-                    if ids is None:
-                        word = rest[i]
-                        if not word or word[0].isspace():
-                            break
-                        found[i] = ids = self._segment(" " + word)
-                        if len(known) < self._room:
-                            known[word] = ids
-            if None not in found:
-                return (self._segment(head) if head else b"") + b"".join(found)
+        if self._usual and not any(a in text for a in self._added) and not _OTHER.search(text):
+            return b"".join(map(self._parts.__getitem__, _PARTS.findall(text)))
         return np.array(self._own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
