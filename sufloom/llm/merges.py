@@ -2,7 +2,7 @@
 
 A merge (BPE) model joins, from single characters on, the two neighbours whose piece has the greatest score, of equal ones
 the leftmost, until no neighbours form a piece; an unknown character becomes its bytes. No merge crosses two characters
-that stand side by side in no piece. A text is divided there, so a part is solved once and remembered, and a document of
+that stand side by side in no piece. A text is divided there, so a part met again is remembered, and a document of
 more than `giant` characters is cut there into chunks that tasks solve apart, with the ids of the whole. A run without
 such a place stays in one chunk, in time n log n.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sufloom.llm import pieces
-from sufloom.llm.common import cut, slices
+from sufloom.llm.common import Remembered, cut, slices, small_batches
 from sufloom.llm.pieces import IDS, MARK, NEVER, pieces_of
 from sufloom.llm.token_output import texts_of
 
@@ -66,24 +66,10 @@ def is_merges(path: str) -> bool:
     return kind == BPE
 
 
-class Merged(dict):
-    """The ids of each word met, as little-endian 32-bit integers; up to `room` words stay."""
-
-    def __init__(self, solve, room: int):
-        super().__init__()
-        self.solve, self.room = solve, room
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.solve(word), "<i4").tobytes()
-        if len(self) < self.room:
-            self[word] = ids
-        return ids
-
-
 class Merges:
     """A merge model's pieces."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, most: int = 50 << 20):
         own = pieces_of(path)
         self.table, self.spelt, self.normalize, self.words_apart = own.table, own.spelt, own.normalize, own.words_apart
         if len(own.byte_id) < 256:
@@ -97,7 +83,7 @@ class Merges:
         marks = re.escape("".join(sorted(marks))) if not any(c.isascii() and c.isalpha() for c in marks) else ""
         words = (f"{MARK}*[{marks}]*[^{MARK}{alone}{marks}]+|{MARK}*[{marks}]+" if marks else f"{MARK}*[^{MARK}{alone}]+") + f"|{MARK}+"
         self._parts = re.compile(f"{f'[{alone}]|' if alone else ''}{words}" if self.words_apart else "(?s:.+)")
-        self._merged = Merged(self.merge, remember)
+        self._merged = Remembered(lambda word: np.array(self.merge(word), "<i4").tobytes(), most)
 
     def merge(self, word: str) -> list[int]:
         """Ids of a text under the merge rules; short ones without an agenda."""
@@ -181,7 +167,7 @@ def merged_lists(own: Merges, texts: list[str]) -> pa.Array:
 
 def encode_merges(docs: DataFrame, model: str, giant: int, chunk: int) -> DataFrame:
     """doc_id and ids of each row of docs (doc_id, text), by a merge model."""
-    rows = texts_of(docs)
+    rows = small_batches(texts_of(docs))
     small = rows.where(F.col("text").isNull() | (F.length("text") <= giant))
 
     def run(batches):

@@ -5,7 +5,9 @@ character at the least score minus 10 and then as its bytes. In a model whose pi
 hold the space mark only at their start, paths restart at each word, so a word is solved once and remembered. A merge
 (BPE) file's own segmentation is another one: see sufloom.llm.merges, whose encode() follows the file's type.
 
-A document of more than `giant` characters is split into chunks of `chunk` characters, which tasks solve apart: for each
+A document of more than `giant` characters is split, in one pass, into chunks of `chunk` characters (to the next word start
+where words are apart, so ties among equal paths are settled as in a whole text; otherwise of equal states at a boundary
+the one that reaches least into the next chunk is taken), which tasks solve apart: for each
 number of characters that a piece begun before may reach into the chunk, and each number that the chunk's last piece may
 reach beyond it, the best score between (the transfer matrix, max-plus). Max-plus products of the matrices, which is
 associative, span many chunks at once and give the scores at the boundaries; from these follows the state at each
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sufloom.llm.common import cut, held, slices
+from sufloom.llm.common import Remembered, cut, held, slices, small_batches
 from sufloom.llm.token_output import texts_of
 
 MARK = "▁"
@@ -36,7 +38,7 @@ NEVER = -np.inf
 class Pieces:
     """A model file's pieces as the tables that the scan needs."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, most: int = 50 << 20):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -58,8 +60,7 @@ class Pieces:
         self.width = max(map(len, self.table))
         self.unk = model.unk_id()
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.table)
-        self._known: dict[str, tuple[float, list[int]]] = {}
-        self._room = remember
+        self._known = Remembered(lambda word: self.path_between(word, 0, len(word)), most // 2)  # an entry takes about twice the estimate
         self.merges = None  # of sufloom.llm.merges
 
     def normalize(self, text: str | None) -> str:
@@ -77,12 +78,7 @@ class Pieces:
 
     def word(self, word: str) -> tuple[float, list[int]]:
         """Score and ids of a word's best path, remembered."""
-        found = self._known.get(word)
-        if found is None:
-            found = self.path_between(word, 0, len(word))
-            if len(self._known) < self._room:
-                self._known[word] = found
-        return found
+        return self._known[word]
 
     def path_between(self, text: str, start: int, end: int) -> tuple[float, list[int]]:
         """Score and ids of the best path over text[start:end]; of equal paths, the one whose last pieces are longest."""
@@ -153,6 +149,18 @@ class Pieces:
             out[i, i - n] = 0
         return out
 
+    def chunks(self, text: str, size: int):
+        """(begin, end) of parts of `size` characters of a normalized text, where words are apart of as many more as it
+        takes to the next word start: there no path crosses, so ties are settled as in the whole text."""
+        at = 0
+        while at < len(text):
+            end = min(len(text), at + size)
+            if self.words_apart and end < len(text):
+                m = _START.search(text, end)
+                end = m.start() if m else len(text)
+            yield at, end
+            at = end
+
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join([self.bytes_of[i] for i in ids.tolist()]).decode("utf-8", "replace")
         return raw[1:] if raw[:1] == " " else raw
@@ -204,37 +212,39 @@ def id_lists(rows: list[list[int]]) -> pa.Array:
 
 def encode(docs: DataFrame, model: str, giant: int = 32_768, chunk: int = 8_192) -> DataFrame:
     """doc_id and ids of each row of docs (doc_id, text)."""
-    rows = texts_of(docs)
+    rows = small_batches(texts_of(docs))
     small = rows.where(F.col("text").isNull() | (F.length("text") <= giant))
 
     def run(batches):
         own = pieces_of(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), id_lists([own.encode(t) for t in part.column("text").to_pylist()])], names=["doc_id", "ids"])
-
-    large = cut(rows.where(F.length("text") > giant).withColumn("row", F.monotonically_increasing_id()), "giants")
-    whole = F.concat(F.lit(MARK), F.translate("text", " ", MARK))
-    pieces = large.select("doc_id", "row", whole.alias("text"), (F.length("text") + 1).alias("n"))
-    beyond = 64  # no piece is longer
-    pieces = pieces.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {chunk}").cast("int"))).alias("k"), "text")
-    size = F.least(F.lit(chunk), F.col("n") - F.col("k") * chunk)
-    pieces = cut(pieces.select("doc_id", "row", "k", size.alias("size"), F.substring(F.col("text"), F.col("k") * chunk + 1, size + beyond).alias("piece")), "chunks")
+        for part in slices(batches, 500):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), id_lists([own.encode(t) for t in part.column("text").to_pylist()])], names=["doc_id", "ids"])
+
+    def chunks(batches):
+        own = pieces_of(model)
+        for part in slices(batches, 1):
+            whole = own.normalize(part.column("text")[0].as_py())
+            for k, (a, b) in enumerate(own.chunks(whole, chunk)):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array([k], pa.int32()), pa.array([b - a], pa.int32()), pa.array([whole[a : b + own.width]])], names=["doc_id", "row", "k", "size", "piece"])
+
+    large = rows.where(F.length("text") > giant).withColumn("row", F.monotonically_increasing_id())
+    pieces = cut(large.mapInArrow(chunks, "doc_id long, row long, k int, size int, piece string"), "chunks")
 
     def matrices(batches):
         own = pieces_of(model)
-        for batch in batches:
+        for batch in slices(batches, 100):
             for r in batch.select(["row", "k", "size", "piece"]).to_pylist():
-                m = own.transfer(r["piece"], r["size"])
-                yield pa.RecordBatch.from_arrays([pa.array([r["row"]]), pa.array([r["k"]], pa.int32()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["row", "k", "m"])
+                m = own.transfer(r["piece"], r["size"]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([r["row"]]), pa.array([r["k"]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(m)], pa.int32()), pa.array(m))], names=["row", "k", "m"])
 
     # One row for each chunk, of width^2 numbers: for the longest text that a row holds some tens of megabytes.
     solved = pieces.repartition("row", "k").mapInArrow(matrices, "row long, k int, m array<double>")
 
     def states(table: pa.Table) -> pa.Table:
         table = table.sort_by("k")
-        ms = [np.array(m).reshape(int(len(m) ** 0.5), -1) for m in table["m"].to_pylist()]
+        flat = table["m"].combine_chunks().flatten().to_numpy()
+        w = int((len(flat) // table.num_rows) ** 0.5)
+        ms = list(flat.reshape(-1, w, w))
         s = boundary_states(ms)
         return pa.table({"row": table["row"], "k": table["k"], "first": pa.array(s[:-1], pa.int32()), "last": pa.array(s[1:], pa.int32())})
 
@@ -242,7 +252,7 @@ def encode(docs: DataFrame, model: str, giant: int = 32_768, chunk: int = 8_192)
 
     def backtrace(batches):
         own = pieces_of(model)
-        for batch in batches:
+        for batch in slices(batches, 100):
             c = batch.to_pydict()
             ids = [own.ids_between(p, a, max(a, s + b)) for p, s, a, b in zip(c["piece"], c["size"], c["first"], c["last"])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("k"), id_lists(ids)], names=["doc_id", "row", "k", "ids"])
@@ -257,7 +267,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         own = pieces_of(model)
-        for batch in batches:
+        for batch in slices(batches, 500):
             ids = batch.column("ids")
             ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             flat = ids.flatten().to_numpy(zero_copy_only=False)
@@ -281,4 +291,4 @@ def digests(encoded: DataFrame, model: str) -> DataFrame:
             text = [zlib.crc32(own.decode(flat[a:b]).encode()) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lens), pa.array(crc, pa.int64()), pa.array(text, pa.int64())], names=["doc_id", "n_tokens", "ids_crc32", "decoded_crc32"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long")
+    return small_batches(encoded).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long")
