@@ -87,16 +87,30 @@ def test_column_generation_holds_every_piece_near_the_bound():
     for n in (1, 7, 500, 20_000):
         lengths, counts = np.unique(rng.integers(1, 1024, n), return_counts=True)
         histogram = dict(zip(lengths.tolist(), counts.tolist()))
-        patterns = packing.solve_patterns(histogram, 1024)
+        solved = packing.solve_patterns(histogram, 1024)
         held = {}
-        for p, times in patterns:
+        for p, times in solved.patterns:
             assert sum(l * k for l, k in p.items()) <= 1024
             for l, k in p.items():
                 held[l] = held.get(l, 0) + k * times
         assert held == histogram
         bound = -(-sum(l * k for l, k in histogram.items()) // 1024)
-        assert sum(t for _, t in patterns) <= bound * 1.02 + 2
-    assert packing.solve_patterns({600: 10, 424: 10}, 1024) and sum(t for _, t in packing.solve_patterns({600: 10, 424: 10}, 1024)) == 10
+        plain = sum(t for _, t in packing.greedy(dict(histogram), 1024))
+        assert bound <= solved.sequences() <= plain
+        assert bound - 1 <= solved.bound <= solved.value + 1
+        assert solved.sequences() <= bound * 1.02 + 2
+    solved = packing.solve_patterns({600: 10, 424: 10}, 1024)
+    assert solved.sequences() == 10
+    assert packing.solve_patterns({}, 1024).patterns == []
+
+
+def test_the_program_betters_a_greedy_packing():
+    # Longest first pairs 500 with 300, and leaves what fits together apart.
+    histogram = {500: 40, 300: 40, 262: 80, 224: 40}
+    solved = packing.solve_patterns(histogram, 1024)
+    plain = sum(t for _, t in packing.greedy(dict(histogram), 1024))
+    assert solved.sequences() < plain and solved.sequences() <= np.ceil(solved.bound) * 1.05
+    assert solved.value <= max(solved.bound * 1.0002, np.ceil(solved.bound)) + 1e-3 or solved.best <= 1 + 1e-6
 
 
 def as_unigram(path):
