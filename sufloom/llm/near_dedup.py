@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sufloom.llm.common import components, cut, semi_join_ids, slices
+from sufloom.llm.common import components, cut, discard, partitions_of, semi_join_ids, slices, small_batches
 from sufloom.llm.wordhash import mix, shingle_sets
 
 SKETCH_WORDS = 16  # 1024 bits
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, width: int = 2, bands: int = 32, rows: int = 5)
                 names=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>")
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int = 2) -> DataFrame:
@@ -159,7 +159,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (total - F.col("shared"))).select("a", "b")
 
 
-def rest_of_buckets(members: DataFrame, most: int, block_rows: int) -> DataFrame:
+def rest_of_buckets(members: DataFrame, most: int, block_rows: int, parts: int) -> DataFrame:
     """Pairs (a, b) of the given members of buckets whose components differ and whose sketches are close.
 
     members: key, band, n (bucket size), node, label, fine (sketch), bands. A bucket of more than block_rows members is
@@ -173,7 +173,6 @@ def rest_of_buckets(members: DataFrame, most: int, block_rows: int) -> DataFrame
         "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
         F.col("node.doc_id").alias("doc_id"), F.col("node.h1").alias("h1"), F.xxhash64("label").alias("label"), "fine", "bands",
     )
-    parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs_of(block: pa.Table):
@@ -236,7 +235,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     members = cut(placed.join(buckets, "key"), "members")
 
     wanted = members.select(F.col("node.doc_id").alias("doc_id")).distinct()
-    sets = cut(full_sets(semi_join_ids(docs.select("doc_id", "text"), cut(wanted, "wanted"), "doc_id"), width), "sets")
+    wanted = cut(wanted, "wanted")
+    sets = cut(full_sets(semi_join_ids(docs.select("doc_id", "text"), wanted, "doc_id"), width), "sets")
     sketches = classes.select("node", "sketch")
 
     hubs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -246,13 +246,16 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     labelled = members.where("n > 2").join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = cut(labelled, "labelled")
     mixed = labelled.where("node <> hub").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = cut(labelled.join(mixed, "key").where("node <> hub"), "mixed")
+    mixed = cut(labelled.join(mixed, "key").where("node <> hub"), "mixed")
+    rest = mixed
     fine = cut(fine_sketches(sets.join(rest.select("node").distinct(), "node", "left_semi")), "fine")
     rest = rest.join(classes.select("node", "bands").join(fine, "node"), "node")
-    near = rest_of_buckets(rest, sketch_cut(percent / 100, FINE_SAMPLES, FINE_WORDS), block_rows)
-    more = confirmed(cut(near, "rest"), sets, percent)
+    near = rest_of_buckets(rest, sketch_cut(percent / 100, FINE_SAMPLES, FINE_WORDS), block_rows, partitions_of(mixed, growth=8))
+    near = cut(near, "rest")
+    more = confirmed(near, sets, percent)
     links = first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
     final = components(links).select("node", F.col("label.doc_id").alias("component_id"))
+    discard(members, wanted, sets, labelled, mixed, fine, near, first)
 
     by_class = classes.join(final, "node", "left").select("h1", "h2", F.coalesce("component_id", "node.doc_id").alias("component_id"))
     ids = signed.select("doc_id", "n_shingles", "h1", "h2")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sufloom.llm.common import cut, slices
+from sufloom.llm.common import cut, slices, small_batches
 from sufloom.llm.token_output import texts_of
 
 FEATURES = (
@@ -75,7 +75,7 @@ def features(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "x"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, x array<double>")
+    return small_batches(texts_of(docs)).mapInArrow(run, "doc_id long, x array<double>")
 
 
 def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -164,4 +164,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, **options) -
             x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -35,6 +35,12 @@ HINTS = (BASE[0][0], r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}")
 MIN_TOKEN = 20
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 CODES = 128
+SLICE = 256  # matches
+
+
+def let(value: Column, use) -> Column:
+    """use(value), the value being computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def found(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
@@ -43,6 +49,7 @@ def found(text: Column, pattern: str, group: int, least: int, kind: int) -> Colu
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
     rows = F.filter(F.transform(parts, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), x["value"].alias("value"))), lambda x: x["hit"].isNotNull())
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    size = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"]))
 
     def add(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -50,7 +57,16 @@ def found(text: Column, pattern: str, group: int, least: int, kind: int) -> Colu
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), nothing.alias("out")), add, lambda acc: acc["out"])
+    def slices_of(rows):
+        last = F.greatest(F.floor((F.size(rows) - 1) / SLICE), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * SLICE + 1, SLICE))
+
+    def spans_of(slices):
+        # Each slice of the matches with the place where it begins, so that no long list grows one by one.
+        begins = F.aggregate(slices, F.array(F.lit(0)), lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + size(part))))
+        return let(begins, lambda at: F.flatten(F.transform(slices, lambda part, i: F.aggregate(part, F.struct(F.element_at(at, i + 1).alias("at"), nothing.alias("out")), add, lambda acc: acc["out"]))))
+
+    return let(rows, lambda r: let(slices_of(r), spans_of))
 
 
 def base_spans(text: Column) -> Column:
@@ -62,7 +78,8 @@ def base_spans(text: Column) -> Column:
 def labelled_samples(docs: DataFrame, documents: int = 500) -> DataFrame:
     """token and label (1: random, 0: identifier) derived from the texts of so many documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.select("doc_id", text.alias("text")).join(F.broadcast(least_hashed(docs.select("doc_id"), "doc_id", documents).distinct()), "doc_id", "left_semi")
+    some = docs.select("doc_id", text.alias("text")).join(F.broadcast(least_hashed(docs, "doc_id", documents)), "doc_id", "left_semi")
+    some = some.groupBy("doc_id").agg(F.min("text").alias("text"))  # of rows that share a doc_id one text, so that the sample keeps its bound
     values = some.select(F.explode(F.transform(base_spans(F.col("text")), lambda s: s["value"])).alias("token")).where(F.length("token") >= MIN_TOKEN)
     words = some.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"[A-Za-z]{4,}"), F.lit(0))).alias("w")).distinct()
     number = F.pmod(F.xxhash64("w"), F.lit(10000)).cast("string")
