@@ -19,6 +19,11 @@ def is_valid(text: Column) -> Column:
     return text.rlike("^[ACGTacgt]+$")
 
 
+def validated(text: Column) -> Column:
+    """The text as it is; an error at run time where a character is no upper-case nucleotide."""
+    return F.when(text.rlike("[^ACGT]"), F.raise_error(F.lit("the text holds other characters than A, C, G, T")).cast("string")).otherwise(text)
+
+
 def to_codes(text: Column) -> Column:
     """One digit for each character: 0 to 3, or 4."""
     return F.translate(F.regexp_replace(F.translate(text, "acgt", "ACGT"), "[^ACGT]", "N"), "ACGTN", "01234")

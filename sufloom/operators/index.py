@@ -47,8 +47,7 @@ def sampled(sa: DataFrame, interval: int = 4) -> DataFrame:
 def sample_bitmap(sa: DataFrame, interval: int = 4, width: int = 64) -> DataFrame:
     """seq_id, b (block of `width` rows), n (sampled rows in it), before (sampled rows ahead of it)."""
     blocks = sa.groupBy("seq_id", F.expr(f"r div {width}").alias("b")).agg(F.count_if(F.col("pos") % interval == 0).alias("n"))
-    ahead = Window.partitionBy("seq_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long"))
+    return blocks.join(running_sums(blocks, ["n"]).withColumnRenamed("n", "before"), ["seq_id", "b"])
 
 
 def kmer_lookup(sa: DataFrame, length: int = 4) -> DataFrame:
@@ -61,10 +60,36 @@ def primary_rows(sa: DataFrame) -> DataFrame:
     return sa.where("pos = 0").select("seq_id", F.col("r").alias("primary_row"))
 
 
-def bwt_text(sa: DataFrame) -> DataFrame:
-    """seq_id, bwt: the transform of each text as one string, $ at the primary row; for texts that fit a row."""
-    rows = sa.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("r", F.coalesce("bwt", F.lit("$")).alias("c")))).alias("x"))
-    return rows.select("seq_id", F.array_join(F.col("x.c"), "").alias("bwt"))
+def transform_blocks(sa: DataFrame, width: int = 64) -> DataFrame:
+    """seq_id, b, bwt, o_A .. o_T: the transform in blocks of `width` rows, $ at the primary row, with how often each
+    character stands before the block; one more, empty block where the last one is full."""
+    rows = sa.groupBy("seq_id", F.expr(f"r div {width}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("r", F.coalesce("bwt", F.lit("$")).alias("c")))).alias("x"))
+    blocks = rows.select("seq_id", "b", F.array_join(F.col("x.c"), "").alias("bwt"))
+    full = blocks.groupBy("seq_id").agg(F.max_by(F.struct((F.col("b") + 1).alias("b"), F.length("bwt").alias("size")), "b").alias("x")).where(f"x.size = {width}")
+    blocks = blocks.unionByName(full.select("seq_id", "x.b", F.lit("").alias("bwt")))
+    counts = blocks.select("seq_id", "b", *((F.length("bwt") - F.length(F.replace(F.col("bwt"), F.lit(c)))).cast("long").alias(f"n_{c}") for c in LETTERS))
+    before = running_sums(counts, [f"n_{c}" for c in LETTERS])
+    return blocks.join(before, ["seq_id", "b"]).select("seq_id", "b", "bwt", *(F.col(f"n_{c}").alias(f"o_{c}") for c in LETTERS))
+
+
+def running_sums(rows: DataFrame, columns: list[str], span: int = 4096) -> DataFrame:
+    """rows (seq_id, b, columns) with each column replaced by its sum over the text's earlier blocks: sums of spans of
+    blocks first, then within each span, so that one long text is many groups."""
+    spanned = rows.withColumn("span", F.expr(f"b div {span}"))
+    ahead = Window.partitionBy("seq_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    totals = spanned.groupBy("seq_id", "span").agg(*(F.sum(c).alias(c) for c in columns))
+    totals = totals.select("seq_id", "span", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"base_{c}") for c in columns))
+    inside = Window.partitionBy("seq_id", "span").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    within = spanned.select("seq_id", "span", "b", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in columns))
+    return within.join(totals, ["seq_id", "span"]).select("seq_id", "b", *((F.col(c) + F.col(f"base_{c}")).cast("long").alias(c) for c in columns))
+
+
+def bwt_text(sa: DataFrame, width: int = 4096) -> DataFrame:
+    """seq_id, bwt: the transform of each text as one string, $ at the primary row; for texts that fit a row. Rows are
+    joined in blocks first."""
+    rows = sa.groupBy("seq_id", F.expr(f"r div {width}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("r", F.coalesce("bwt", F.lit("$")).alias("c")))).alias("x"))
+    blocks = rows.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("b", F.array_join(F.col("x.c"), "").alias("s")))).alias("x"))
+    return blocks.select("seq_id", F.array_join(F.col("x.s"), "").alias("bwt"))
 
 
 def invert(sa: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -87,4 +112,7 @@ def invert(sa: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 def build_tables(sa: DataFrame) -> dict[str, DataFrame]:
     """The tables that files.save_index writes."""
-    return {"sa": sa, "c_table": c_table(sa), "sampled": sampled(sa), "bitmap": sample_bitmap(sa), "lookup": kmer_lookup(sa)}
+    return {
+        "sa": sa, "c_table": c_table(sa), "sampled": sampled(sa), "bitmap": sample_bitmap(sa), "lookup": kmer_lookup(sa),
+        "transform": transform_blocks(sa), "primary": primary_rows(sa),
+    }

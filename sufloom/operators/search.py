@@ -4,17 +4,24 @@ patterns are rows (pattern_id, pattern). A suffix matches if it begins with the
 characters as a pattern has, for each length that occurs, so a suffix is never compared with every pattern.
 Patterns with other characters than A, C, G, T match nothing here. A pattern longer than the indexed prefix goes on by
 equi-joins with the array: its next characters must stand at the match's position + `indexed`, + 2 * `indexed`, ...;
-for that, p must hold `indexed` characters of each suffix, or all that it has. An empty pattern matches nothing.
+for that, p must hold `indexed` characters of each suffix, or all that it has. An empty pattern matches every suffix, the
+empty one too. Lower case is the caller's to fold (upper_patterns).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sufloom.operators.index import LETTERS
+from sufloom.sources.scratch import discard, materialize
 
-SMALL = 100_000  # patterns; up to so many are broadcast
+SMALL = 8 << 20  # bytes of patterns, by an estimate; up to so many are broadcast
+
+
+def upper_patterns(patterns: DataFrame) -> DataFrame:
+    """The patterns with acgt in upper case, as the index stores texts."""
+    return patterns.withColumn("pattern", F.translate("pattern", "acgt", "ACGT"))
 
 
 def matches(patterns: DataFrame, sa: DataFrame, indexed: int = 32) -> DataFrame:
@@ -35,15 +42,25 @@ def matches(patterns: DataFrame, sa: DataFrame, indexed: int = 32) -> DataFrame:
 
 def _short(patterns: DataFrame, sa: DataFrame, indexed: int, by: str = "pattern") -> DataFrame:
     """matches() of the patterns' column `by`, of at most `indexed` characters."""
-    patterns = patterns.select("pattern_id", "pattern", F.col(by).alias("key"))
-    lengths = sorted(r["l"] for r in patterns.select(F.length("key").alias("l")).where(F.col("l").between(1, indexed)).distinct().collect())  # at most `indexed` numbers
+    own = patterns.select("pattern_id", "pattern", F.col(by).alias("key")).where(F.length("key") <= indexed)
+    sizes = own.groupBy(F.length("key").alias("l")).agg(F.count("*").alias("n")).collect()  # at most `indexed` + 1 rows
+    lengths = sorted(r["l"] for r in sizes)
     if not lengths:
-        return patterns.where(F.lit(False)).select("pattern_id", "pattern", *(F.lit(None).cast("long").alias(c) for c in ("seq_id", "r", "pos")))
-    own = patterns.where(F.length("key").between(1, indexed))
-    if patterns.count() <= SMALL:
-        own = F.broadcast(own)
+        return own.where(F.lit(False)).select("pattern_id", "pattern", *(F.lit(None).cast("long").alias(c) for c in ("seq_id", "r", "pos")))
+    keys = own.groupBy("key").agg(F.collect_list(F.struct("pattern_id", "pattern")).alias("asked"))
+    rows = sa.select("seq_id", "r", "pos", "p")
+    if sum(r["n"] * (r["l"] + 64) for r in sizes) <= SMALL:
+        # One lookup for each length that occurs, in a broadcast table: no suffix is copied before it has matched.
+        for l in lengths:
+            table = keys.where(F.length("key") == l).select(F.col("key").alias(f"key_{l}"), F.col("asked").alias(f"asked_{l}"))
+            rows = rows.join(F.broadcast(table), F.substring("p", 1, l) == F.col(f"key_{l}"), "left")
+        met = F.concat(*(F.coalesce(f"asked_{l}", F.array().cast(keys.schema["asked"].dataType)) for l in lengths))
+        some = F.lit(False)
+        for l in lengths:
+            some = some | F.col(f"asked_{l}").isNotNull()
+        return rows.where(some).select("seq_id", "r", "pos", F.explode(met).alias("x")).select("x.pattern_id", "x.pattern", "seq_id", "r", "pos")
     # The array is read once: each suffix offers a key for each length, and keys of one length equal patterns of that length only.
-    keyed = sa.where(F.length("p") >= lengths[0]).select("seq_id", "r", "pos", "p", F.explode(F.array(*map(F.lit, lengths))).alias("l")).where(F.length("p") >= F.col("l"))
+    keyed = rows.where(F.length("p") >= lengths[0]).select("*", F.explode(F.array(*map(F.lit, lengths))).alias("l")).where(F.length("p") >= F.col("l"))
     keyed = keyed.select("seq_id", "r", "pos", F.substring(F.col("p"), F.lit(1), F.col("l")).alias("key"))
     return keyed.join(own, "key").select("pattern_id", "pattern", "seq_id", "r", "pos")
 
@@ -92,31 +109,66 @@ def verified(patterns: DataFrame, sa: DataFrame, texts: DataFrame, indexed: int
     return whole.unionByName(long).select("pattern_id", F.col("full").alias("pattern"), "seq_id", "r", "pos")
 
 
-def backward_search(patterns: DataFrame, counts: DataFrame, ranks: DataFrame, stop: int = 0) -> DataFrame:
+def _rank(state: DataFrame, blocks: DataFrame, at: str, char: Column, out: str, width: int) -> DataFrame:
+    """state with `out`: how often char stands in the transform before row `at`; blocks: index.transform_blocks."""
+    own = blocks.select("seq_id", F.col("b").alias("_b"), F.col("bwt").alias("_bwt"), *(F.col(f"o_{c}").alias(f"_o_{c}") for c in LETTERS))
+    head = F.substring(F.col("_bwt"), F.lit(1), (F.col(at) % width).cast("int"))
+    before = F.coalesce(*(F.when(char == c, F.col(f"_o_{c}")) for c in LETTERS), F.lit(0))
+    found = state.withColumn("_b", F.expr(f"{at} div {width}")).join(own, ["seq_id", "_b"], "left")
+    return found.withColumn(out, before + F.length(head) - F.length(F.replace(head, char))).drop("_b", "_bwt", *(f"_o_{c}" for c in LETTERS))
+
+
+def backward_search(patterns: DataFrame, counts: DataFrame, blocks: DataFrame, stop: int = 0, start: DataFrame | None = None, width: int = 64) -> DataFrame:
     """pattern_id, seq_id, beg, end, remaining: each pattern's range in each text, a character at a time from the right.
 
     Before each step a range of at most `stop` rows ends the search (an empty one always does); remaining is the number
-    of characters left. counts: index.c_table; ranks: index.occurrence_ranks.
+    of characters left. An empty pattern, or an empty range to go on
+    from, has nothing remaining. start: (pattern_id, seq_id, beg, end), ranges to go on from,
+    those of what follows the pattern; else all rows of each text. counts: index.c_table; blocks: index.transform_blocks,
+    of `width` rows. The state is written to the shared folder every few steps.
     """
     longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
-    state = counts.withColumn("x", F.explode(F.array(*_literals(patterns)))).select("*", "x.pattern_id", "x.pattern").drop("x")
-    state = state.withColumns({"beg": F.lit(0).cast("long"), "end": F.col("n"), "remaining": F.length("pattern")})
-    low = ranks.select("seq_id", F.col("r").alias("beg"), *(F.col(f"o_{c}").alias(f"b_{c}") for c in LETTERS))
-    high = ranks.select("seq_id", F.col("r").alias("end"), *(F.col(f"o_{c}").alias(f"e_{c}") for c in LETTERS))
-    for _ in range(longest):
+    totals = counts.select("seq_id", "n", *(f"c_{c}" for c in LETTERS))
+    if start is None:  # every pattern in every text: dealt out by the pattern's last character
+        each = totals.select("*", F.explode(F.array(*map(F.lit, ("", *LETTERS)))).alias("last"))
+        tail = F.substring("pattern", -1, 1)
+        asked = patterns.select("pattern_id", "pattern", F.when(tail.isin(*LETTERS), tail).otherwise("").alias("last"))
+        state = each.join(asked, "last").withColumns({"beg": F.lit(0).cast("long"), "end": F.col("n")}).drop("last")
+    else:
+        state = start.select("pattern_id", "seq_id", "beg", "end").join(patterns.select("pattern_id", "pattern"), "pattern_id").join(totals, "seq_id")
+    state = state.drop("n").withColumn("remaining", F.when(F.col("beg") < F.col("end"), F.length("pattern")).otherwise(0))
+    written = None
+    for step in range(longest):
         active = (F.col("remaining") > 0) & (F.col("end") - F.col("beg") >= stop + 1)
         c = F.substring(F.col("pattern"), F.col("remaining"), F.lit(1))
-        step = state.join(low, ["seq_id", "beg"]).join(high, ["seq_id", "end"])
-        first = F.coalesce(*(F.when(c == x, F.col(f"c_{x}") + F.col(f"b_{x}")) for x in LETTERS))
-        last = F.coalesce(*(F.when(c == x, F.col(f"c_{x}") + F.col(f"e_{x}")) for x in LETTERS))
-        step = step.withColumns({"beg2": F.when(active, F.coalesce(first, F.lit(0))).otherwise(F.col("beg")), "end2": F.when(active, F.coalesce(last, F.lit(0))).otherwise(F.col("end")), "remaining": F.when(active, F.col("remaining") - 1).otherwise(F.col("remaining"))})
-        state = step.drop("beg", "end", *(f"{s}_{x}" for s in "be" for x in LETTERS)).withColumnsRenamed({"beg2": "beg", "end2": "end"})
+        base = F.coalesce(*(F.when(c == x, F.col(f"c_{x}")) for x in LETTERS), F.lit(0))
+        moved = _rank(_rank(state.where(active), blocks, "beg", c, "low", width), blocks, "end", c, "high", width)
+        moved = moved.withColumns({"beg": base + F.col("low"), "end": base + F.col("high"), "remaining": F.col("remaining") - 1}).drop("low", "high")
+        state = state.where(~active).unionByName(moved)
+        if step % 3 == 2:
+            state, old = materialize(state, "backward"), written
+            if old is not None:
+                discard(old)
+            written = state
     return state.select("pattern_id", "seq_id", "beg", "end", F.col("remaining").cast("int").alias("remaining"))
 
 
-def _literals(patterns: DataFrame) -> list:
-    """The patterns of a batch as constants; a batch is bounded by SMALL."""
-    rows = patterns.limit(SMALL + 1).collect()
-    if len(rows) > SMALL:
-        raise ValueError(f"backward_search takes at most {SMALL} patterns; matches() takes any number")
-    return [F.struct(F.lit(r["pattern_id"]).alias("pattern_id"), F.lit(r["pattern"]).alias("pattern")) for r in rows]
+def located(ranges_: DataFrame, counts: DataFrame, blocks: DataFrame, sampled: DataFrame, interval: int = 4, width: int = 64) -> DataFrame:
+    """pattern_id, seq_id, r, pos of every row of the ranges (pattern_id, seq_id, beg, end), from the sampled array alone: a
+    row goes on to that of the position before it until it meets a sampled one, `interval` - 1 steps at most."""
+    rows = ranges_.where("beg < end").select("pattern_id", "seq_id", F.explode(F.sequence(F.col("beg"), F.col("end") - 1)).alias("r"))
+    state = rows.withColumn("at", F.col("r"))
+    samples = sampled.select("seq_id", F.col("r").alias("at"), F.col("pos").alias("_pos"))
+    out = None
+    for steps in range(interval):
+        joined = state.join(samples, ["seq_id", "at"], "left")
+        done = joined.where("_pos is not null").select("pattern_id", "seq_id", "r", (F.col("_pos") + steps).alias("pos"))
+        out = done if out is None else out.unionByName(done)
+        if steps == interval - 1:
+            return out
+        open_ = joined.where("_pos is null").drop("_pos").withColumn("_b", F.expr(f"at div {width}"))
+        letter = blocks.select("seq_id", F.col("b").alias("_b"), F.col("bwt").alias("_text"))
+        open_ = open_.join(letter, ["seq_id", "_b"]).withColumn("_c", F.substring(F.col("_text"), (F.col("at") % width + 1).cast("int"), F.lit(1))).drop("_b", "_text")
+        open_ = _rank(open_, blocks, "at", F.col("_c"), "_low", width).join(counts.select("seq_id", *(f"c_{c}" for c in LETTERS)), "seq_id")
+        base = F.coalesce(*(F.when(F.col("_c") == x, F.col(f"c_{x}")) for x in LETTERS), F.lit(0))
+        state = open_.select("pattern_id", "seq_id", "r", (base + F.col("_low")).alias("at"))

@@ -7,25 +7,44 @@ position; with k=None by whole suffixes. Null texts count as empty. Ranks r begi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sufloom.sources.scratch import materialize
+from sufloom.operators.ranking import columns_of
+from sufloom.sources.scratch import discard, materialize, partitions_of
 
 CHUNK = 256
+GIANT = 1 << 20  # characters; longer texts are ranked by many tasks
+TASK_CHARACTERS = 4 << 20  # of texts for each task, where the session's shuffle partitions are fewer
+NAMES = ["seq_id", "r", "pos", "p", "bwt"]
+
+
+def cut_text(text: Column, size: int = CHUNK) -> Column:
+    """The text as an array of pieces of `size` characters, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def suffixes(texts: DataFrame, k: int | None = 32) -> DataFrame:
-    """All suffixes. A text is first cut into chunks that overlap by k, as substring walks from a string's start."""
+    """All suffixes. A text is first cut into pieces that go on for k characters into the next, as substring walks from a
+    string's start. k is at most CHUNK; with None whole suffixes, which grow with the square of the text, are for short
+    texts: arrays() orders by whole suffixes without them."""
+    if k is not None and k > CHUNK:
+        raise ValueError(f"suffixes carry at most {CHUNK} characters")
     text = F.coalesce(F.col("text"), F.lit(""))
-    whole = texts.select("seq_id", text.alias("text"), F.length(text).alias("n"))
-    size = F.lit(CHUNK + k) if k is not None else F.col("n") + 1
-    start = F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(CHUNK)))
-    chunks = whole.select("seq_id", "text", "n", start.alias("start")).select(
-        "seq_id", "n", "start", F.substring("text", F.col("start") + 1, size).alias("piece"), F.when(F.col("start") > 0, F.substring("text", F.col("start"), F.lit(1))).alias("before")
-    )
-    each = chunks.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK - 1), F.col("n") - F.col("start")))).alias("i"))
-    taken = F.lit(k) if k is not None else F.col("n") + 1
+    if k is None:
+        each = texts.select("seq_id", text.alias("piece"), F.lit(None).cast("string").alias("before"), F.lit(0).alias("start"), F.explode(F.sequence(F.lit(0), F.length(text))).alias("i"))
+        taken = F.length("piece") + 1
+    else:
+        # The empty suffix stands behind the last piece; an empty text is one empty piece.
+        pieces = texts.select("seq_id", cut_text(text).alias("all")).select("seq_id", "all", F.posexplode_outer(F.when(F.size("all") > 0, F.col("all")).otherwise(F.array(F.lit("")))).alias("c", "own"))
+        last = F.col("c") >= F.size("all") - 1
+        ahead = F.when(last, "").otherwise(F.substring(F.get("all", F.col("c") + 1), 1, k))
+        before = F.when(F.col("c") > 0, F.substring(F.get("all", F.col("c") - 1), -1, 1))
+        pieces = pieces.select("seq_id", F.concat("own", ahead).alias("piece"), before.alias("before"), (F.col("c") * CHUNK).alias("start"), (F.length("own") - F.when(last, 0).otherwise(1)).alias("end"))
+        each = pieces.select("seq_id", "piece", "before", "start", F.explode(F.sequence(F.lit(0), "end")).alias("i"))
+        taken = F.lit(k)
     return each.select(
         "seq_id",
         (F.col("start") + F.col("i")).cast("long").alias("pos"),
@@ -34,25 +53,63 @@ def suffixes(texts: DataFrame, k: int | None = 32) -> DataFrame:
     )
 
 
-def concatenated(texts: DataFrame, order: str) -> DataFrame:
+def arrays(texts: DataFrame, k: int | None = 32, carry: int | None = None, giant: int = GIANT) -> DataFrame:
+    """seq_id, r, pos, p, bwt: the suffix array of each text by k characters (None: all), with `carry` characters in p (k,
+    or none where k is None).
+
+    Texts are dealt out to tasks, which order each text of up to `giant` characters in place, so no suffix is shuffled;
+    longer texts are sorted by range partitions of their suffixes, or ranked by prefix doubling, over many tasks.
+    """
+    carry = (k or 0) if carry is None else carry
+    rows = texts.select(F.col("seq_id").cast("long").alias("seq_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    longest, size = rows.agg(F.max(F.length("text")), F.sum(F.length("text"))).first()
+
+    def run(batches):
+        ready, number = [], 0
+        for batch in batches:
+            for seq_id, text in zip(batch.column("seq_id").to_pylist(), batch.column("text").to_pylist()):
+                own = columns_of(text, k, carry)
+                ready.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), seq_id, np.int64)), *own], names=NAMES))
+                number += len(own[0])
+                if number >= 100_000:
+                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                    ready, number = [], 0
+        if ready:
+            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+
+    small = rows.where(F.length("text") <= giant) if (longest or 0) > giant else rows
+    out = small.repartition(max(parts, (size or 0) // TASK_CHARACTERS), "seq_id").mapInArrow(run, "seq_id long, r long, pos long, p string, bwt string")
+    if (longest or 0) <= giant:
+        return out
+    large = rows.where(F.length("text") > giant)
+    if k is not None and k <= CHUNK:
+        return out.unionByName(suffix_array(suffixes(large, k), "range").withColumn("p", F.substring("p", 1, carry)))
+    ranked = doubled(suffixes(large, 1), k, "range").withColumnRenamed("rk", "r")
+    with_text = suffixes(large, max(1, carry)).select("seq_id", "pos", F.substring("p", 1, carry).alias("p"), "bwt")
+    return out.unionByName(ranked.join(with_text, ["seq_id", "pos"]).select(*NAMES))
+
+
+def concatenated(texts: DataFrame, *order: str) -> DataFrame:
     """(block, text): all texts joined in that order without separators, in blocks of CHUNK characters.
 
-    Offsets come from a range-partitioned sort and one small total for each partition.
+    Offsets come from a range-partitioned sort and one small total for each partition; each text is cut in one pass.
     """
     spark = texts.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = texts.select(order, F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange(parts, order).sortWithinPartitions(order)
-    rows = materialize(rows.select(order, "text", F.length("text").cast("long").alias("n"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "ordered")
+    rows = texts.select(*order, F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = materialize(rows.select("text", F.length("text").cast("long").alias("n"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "ordered")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("part").agg(F.sum("n").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(totals), "part").withColumn("at", F.col("at") + F.col("base")).where("n > 0")
-    block = F.explode(F.sequence(F.expr(f"at div {CHUNK}"), F.expr(f"(at + n - 1) div {CHUNK}")))
-    cut = placed.select("at", "n", "text", block.alias("block"))
-    first = F.greatest(F.col("block") * CHUNK, F.col("at"))
-    last = F.least((F.col("block") + 1) * CHUNK, F.col("at") + F.col("n"))
-    piece = F.substring("text", (first - F.col("at") + 1).cast("int"), (last - first).cast("int"))
-    pieces = cut.select("block", first.alias("first"), piece.alias("piece")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("first", "piece"))).alias("x"))  # at most CHUNK pieces
+    ahead = rows.select("part", "row", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("at"))  # without the texts
+    placed = rows.where("n > 0").join(ahead, ["part", "row"]).join(F.broadcast(totals), "part").withColumn("at", F.col("at") + F.col("base"))
+    # The first piece fills up the block in which the text begins; the others are blocks, the last perhaps in part.
+    lead = F.least(F.pmod(-F.col("at"), F.lit(CHUNK)), F.col("n")).cast("int")
+    cut = placed.select("at", lead.alias("lead"), F.filter(F.concat(F.array(F.substring(F.col("text"), F.lit(1), lead)), cut_text(F.substring(F.col("text"), lead + 1, F.length("text")))), lambda x: x != "").alias("all"))
+    each = cut.select("at", "lead", F.posexplode("all").alias("c", "piece"))
+    first = F.when(F.col("c") == 0, F.col("at")).when(F.col("lead") == 0, F.col("at") + F.col("c") * CHUNK).otherwise(F.col("at") + F.col("lead") + (F.col("c") - 1) * CHUNK)
+    pieces = each.select(first.alias("first"), "piece").groupBy(F.expr(f"first div {CHUNK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("first", "piece"))).alias("x"))  # at most CHUNK pieces
     return pieces.select("block", F.array_join(F.col("x.piece"), "").alias("text"))
 
 

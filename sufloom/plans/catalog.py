@@ -13,6 +13,7 @@ from sufloom.functions import codec
 from sufloom.operators import index, search, suffixes
 from sufloom.sources import files
 from sufloom.sources.scratch import materialize, new_path
+from sufloom.streaming import patterns as streams
 
 PATTERNS = ["CA", "TAC", "GCA", "CAAG", "ACAT", "TTTTTTTT", "GATTACA", "AAAAAAAAAAAA"]
 SHORT = ["C", "CA", "TAC", "GCA", "CAAG"]
@@ -40,8 +41,8 @@ def patterns(spark: SparkSession, words: list[str]) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("x")).select("x.pattern_id", "x.pattern")
 
 
-def array_of(texts: DataFrame, k: int | None = 32) -> DataFrame:
-    return suffixes.suffix_array(suffixes.suffixes(texts, k))
+def array_of(texts: DataFrame, k: int | None = 32, carry: int | None = None) -> DataFrame:
+    return suffixes.arrays(texts, k, carry)
 
 
 def checksum(sa: DataFrame) -> DataFrame:
@@ -157,17 +158,17 @@ def char_histogram(spark, sf_dir):
 
 @query(with_sa(SQL_DOCS, SQL_SUM))
 def sa_k32(spark, sf_dir):
-    return checksum(array_of(documents(spark, sf_dir)))
+    return checksum(array_of(documents(spark, sf_dir), 32, 0))
 
 
 @query(with_sa(SQL_TURNS, SQL_SUM, 10))
 def sa_k10(spark, sf_dir):
-    return checksum(array_of(turns(spark, sf_dir), 10))
+    return checksum(array_of(turns(spark, sf_dir), 10, 0))
 
 
 @query(with_sa(SQL_TURNS, SQL_SUM, 256))
 def sa_k256(spark, sf_dir):
-    return checksum(array_of(turns(spark, sf_dir), 256))
+    return checksum(array_of(turns(spark, sf_dir), 256, 0))
 
 
 SQL_WHOLE = "suffixes AS (SELECT seq_id, u.i AS pos, substr(text, u.i + 1) AS p, CASE WHEN u.i > 0 THEN substr(text, u.i, 1) END AS bwt FROM texts, unnest(range(0, length(text) + 1)) AS u(i))"
@@ -232,12 +233,12 @@ def lms_type_histogram(spark, sf_dir):
 
 @query(with_sa(SQL_DOCS, "SELECT seq_id, md5(string_agg(coalesce(bwt, '$'), '' ORDER BY r)) AS digest FROM sa GROUP BY seq_id"))
 def bwt(spark, sf_dir):
-    return index.bwt_text(array_of(documents(spark, sf_dir))).select("seq_id", F.md5("bwt").alias("digest"))
+    return index.bwt_text(array_of(documents(spark, sf_dir), 32, 0)).select("seq_id", F.md5("bwt").alias("digest"))
 
 
 @query(with_sa(SQL_DOCS, "SELECT seq_id, r AS primary_row FROM sa WHERE pos = 0"))
 def primary_index(spark, sf_dir):
-    return index.primary_rows(array_of(documents(spark, sf_dir)))
+    return index.primary_rows(array_of(documents(spark, sf_dir), 32, 0))
 
 
 @query(
@@ -247,12 +248,12 @@ def primary_index(spark, sf_dir):
     )
 )
 def occ_checkpoints(spark, sf_dir):
-    return index.occurrence_checkpoints(array_of(turns(spark, sf_dir)), 64)
+    return index.occurrence_checkpoints(array_of(turns(spark, sf_dir), 32, 0), 64)
 
 
 @query(with_sa(SQL_TURNS, "SELECT seq_id, r, pos FROM sa WHERE pos % 4 = 0"))
 def sampled_sa(spark, sf_dir):
-    return index.sampled(array_of(turns(spark, sf_dir)), 4)
+    return index.sampled(array_of(turns(spark, sf_dir), 32, 0), 4)
 
 
 @query(
@@ -262,7 +263,7 @@ def sampled_sa(spark, sf_dir):
     )
 )
 def sample_bitmap(spark, sf_dir):
-    return index.sample_bitmap(array_of(turns(spark, sf_dir)), 4, 64)
+    return index.sample_bitmap(array_of(turns(spark, sf_dir), 32, 0), 4, 64)
 
 
 SQL_KMERS = 'SELECT seq_id, substr(p, 1, 4) AS kmer, min(r) AS beg, max(r) + 1 AS "end" FROM sa WHERE length(p) >= 4 GROUP BY seq_id, substr(p, 1, 4)'
@@ -270,7 +271,7 @@ SQL_KMERS = 'SELECT seq_id, substr(p, 1, 4) AS kmer, min(r) AS beg, max(r) + 1 A
 
 @query(with_sa(SQL_TURNS, SQL_KMERS))
 def kmer_lookup(spark, sf_dir):
-    return index.kmer_lookup(array_of(turns(spark, sf_dir)), 4)
+    return index.kmer_lookup(array_of(turns(spark, sf_dir), 32, 4), 4)
 
 
 @query(f"WITH {SQL_TURNS} SELECT seq_id, length(text) AS n, md5(text) AS digest FROM texts WHERE text <> ''")
@@ -346,8 +347,8 @@ def sql_backward(stop: int) -> str:
 
 
 def _backward(spark, sf_dir, stop: int) -> DataFrame:
-    sa = materialize(array_of(turns(spark, sf_dir), 32).select("seq_id", "r", "bwt"), "sa")
-    return search.backward_search(patterns(spark, SHORT), index.c_table(sa), materialize(index.occurrence_ranks(sa), "ranks"), stop)
+    sa = materialize(array_of(turns(spark, sf_dir), 32, 0).select("seq_id", "r", "bwt"), "sa")
+    return search.backward_search(patterns(spark, SHORT), index.c_table(sa), materialize(index.transform_blocks(sa), "transform"), stop)
 
 
 @query(sql_backward(0))
@@ -379,6 +380,83 @@ def long_pattern_count(spark, sf_dir):
     return search.verified(patterns(spark, ["A" * 36, "A" * 40 + "C", "CAAG"]), array_of(t), t).groupBy("pattern_id").agg(F.count("*").alias("n"))
 
 
+LONG = ["A" * 33, "A" * 40 + "C", "C" * 50, "A" * 100, "CAAG"]
+MIXED = ["ca", "Tac", "gCa", "gattaca"]
+SQL_COUNT = "SELECT q.pattern_id, q.pattern, count(h.pos) AS n, CAST(coalesce(sum(h.pos), 0) AS BIGINT) AS positions FROM patterns q LEFT JOIN hits h ON h.pattern_id = q.pattern_id GROUP BY q.pattern_id, q.pattern"
+
+
+@query(
+    with_sa(
+        SQL_TURNS,
+        SQL_COUNT,
+        32,
+        sql_patterns(LONG),
+        "hits AS (SELECT q.pattern_id, v.i - 1 AS pos FROM patterns q JOIN texts t ON true, unnest(range(1, length(t.text) + 1)) AS v(i) WHERE substr(t.text, v.i, length(q.pattern)) = q.pattern)",
+    )
+)
+def count_long_patterns(spark, sf_dir):
+    return search.count(patterns(spark, LONG), array_of(turns(spark, sf_dir)))
+
+
+@query(with_sa(SQL_TURNS, SQL_COUNT, 32, sql_patterns([p.upper() for p in MIXED]), SQL_HITS))
+def count_mixed_case(spark, sf_dir):
+    return search.count(search.upper_patterns(patterns(spark, MIXED)), array_of(turns(spark, sf_dir)))
+
+
+@query(with_sa(SQL_TURNS, SQL_COUNT, 32, sql_patterns([""]), SQL_HITS))
+def empty_pattern(spark, sf_dir):
+    return search.count(patterns(spark, [""]), array_of(turns(spark, sf_dir), 32, 0))
+
+
+@query(
+    with_sa(
+        SQL_TURNS,
+        """SELECT 0 AS pattern_id, seq_id, beg, "end", CAST(CASE WHEN done = 0 THEN 0 ELSE 2 - done END AS INTEGER) AS remaining
+        FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY done) AS k FROM steps WHERE size = 0 OR done = 2) WHERE k = 1""",
+        32,
+        """steps AS (SELECT sa.seq_id, d.done, count(*) FILTER (WHERE sa.p < right('GACA', 2 + d.done)) AS beg,
+          count(*) FILTER (WHERE sa.p < right('GACA', 2 + d.done) OR starts_with(sa.p, right('GACA', 2 + d.done))) AS "end",
+          count(*) FILTER (WHERE starts_with(sa.p, right('GACA', 2 + d.done))) AS size
+          FROM sa, (VALUES (0), (1), (2)) d(done) GROUP BY sa.seq_id, d.done)""",
+    )
+)
+def range_resume(spark, sf_dir):
+    """GA searched for in front of what CA's ranges hold."""
+    sa = materialize(array_of(turns(spark, sf_dir), 32, 0).select("seq_id", "r", "bwt"), "sa")
+    counts, blocks = index.c_table(sa), materialize(index.transform_blocks(sa), "transform")
+    first = search.backward_search(patterns(spark, ["CA"]), counts, blocks)
+    return search.backward_search(patterns(spark, ["GA"]), counts, blocks, 0, first)
+
+
+@query(sql_backward(0))
+def backward_search_loaded(spark, sf_dir):
+    """The search on a saved and reloaded index: its character counts and transform alone."""
+    path = new_path(spark, "index")
+    files.save_index(index.build_tables(materialize(array_of(turns(spark, sf_dir)), "sa")), path)
+    tables = files.load_index(spark, path, ("c_table", "transform"))
+    return search.backward_search(patterns(spark, SHORT), tables["c_table"], tables["transform"])
+
+
+@query(with_sa(SQL_TURNS, "SELECT pattern_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM hits GROUP BY pattern_id", 32, sql_patterns(SHORT), SQL_HITS))
+def locate_sampled(spark, sf_dir):
+    """Positions from every fourth one alone, by steps through the transform."""
+    sa = materialize(array_of(turns(spark, sf_dir), 32, 0).select("seq_id", "r", "pos", "bwt"), "sa")
+    counts, blocks = index.c_table(sa), materialize(index.transform_blocks(sa), "transform")
+    ranges = materialize(search.backward_search(patterns(spark, SHORT), counts, blocks), "ranges")
+    return search.located(ranges, counts, blocks, index.sampled(sa, 4)).groupBy("pattern_id").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"))
+
+
+@query(with_sa(SQL_TURNS, "SELECT pattern_id, pattern, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM hits GROUP BY pattern_id, pattern", 32, sql_patterns(SHORT), SQL_HITS))
+def pattern_stream(spark, sf_dir):
+    """A stream of patterns against the stored array, run until no new files are there."""
+    sa = materialize(array_of(turns(spark, sf_dir)), "sa")
+    source, out = new_path(spark, "patterns"), new_path(spark, "hits")
+    patterns(spark, SHORT).write.parquet(source)
+    asked = spark.readStream.schema("pattern_id int, pattern string").parquet(source)
+    streams.counts_per_batch(streams.match_stream(asked, sa, (1, 2, 3, 4)), out, new_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out).groupBy("pattern_id", "pattern").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"))
+
+
 # --- Files -----------------------------------------------------------------------------------------------------------
 
 

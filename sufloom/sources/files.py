@@ -54,15 +54,20 @@ def write_fastq(records: DataFrame, path: str, **options) -> None:
 
 
 def read_sequence(spark: SparkSession, path: str) -> DataFrame:
-    """seq of each record of a FASTA file, else each line of a plain text file, by the file's first character."""
-    first = spark.read.text(path).limit(1).collect()  # one line
+    """seq of each line of sequence of a FASTA file (headers left out), or of a plain text file, by the file's first
+    character, with file, block and line, by which the lines are in order. A long record is many rows."""
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("seq"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    )
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()  # one line
     if first and first[0]["value"].lstrip().startswith(">"):
-        return read_fasta(spark, path).select("seq")
-    return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("seq"))
+        return lines.where(~F.ltrim("seq").startswith(">"))
+    return lines
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """pattern_id and pattern of a binary batch: two little-endian 32-bit numbers (length, count), then the patterns."""
+    """pattern_id and pattern of a binary batch: two little-endian 32-bit numbers (length, count), then the
+    patterns, whose acgt are read in upper case."""
 
     def little(at: int) -> Column:
         digits = F.concat(*(F.hex(F.substring("content", at + i, 1)) for i in (3, 2, 1, 0)))
@@ -71,7 +76,7 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("binaryFile").load(path).select("content", little(1).alias("size"), little(5).alias("number"))
     each = rows.where("number > 0 and size > 0").select("content", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("number") - 1)).alias("pattern_id"))
     start = (F.lit(9) + F.col("pattern_id") * F.col("size")).cast("int")
-    return each.select("pattern_id", F.decode(F.substring(F.col("content"), start, F.col("size").cast("int")), "UTF-8").alias("pattern"))
+    return each.select("pattern_id", F.translate(F.decode(F.substring(F.col("content"), start, F.col("size").cast("int")), "UTF-8"), "acgt", "ACGT").alias("pattern"))
 
 
 def write_records(rows: DataFrame, path: str) -> None:
@@ -96,13 +101,28 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-INDEX_TABLES = ("sa", "c_table", "sampled", "bitmap", "lookup")
+INDEX_TABLES = ("sa", "c_table", "sampled", "bitmap", "lookup", "transform", "primary")
 
 
 def save_index(tables: dict[str, DataFrame], path: str) -> None:
+    """One Parquet folder a table; the array sorted by range partitions of its prefixes, so that a search for one prefix
+    reads the files and row groups that can hold it alone."""
     for name, df in tables.items():
+        if name == "sa":
+            parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            df = df.repartitionByRange(parts, "p", "seq_id", "r").sortWithinPartitions("p", "seq_id", "r")
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = INDEX_TABLES) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def join_fields(array: Column) -> Column:
+    """A list as one field: its items, separated by tabs."""
+    return F.concat_ws("\t", array)
+
+
+def split_fields(field: Column) -> Column:
+    """The list that join_fields wrote; an empty field is an empty list."""
+    return F.when(field == "", F.array().cast("array<string>")).otherwise(F.split(field, "\t", -1))

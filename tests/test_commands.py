@@ -19,7 +19,13 @@ def test_sort_build_and_query(spark, tmp_path, capsys):
     commands.main(["fmindex_build", str(f)])
     commands.main(["fmindex_query", str(f), "-q", "CCG", "-n", "1"])
     out = capsys.readouterr().out
-    assert "2 occurrences" in out and "0 CCG" in out
+    assert "2 occurrences" in out and "1st 0 CCG" in out
+    commands.main(["fmindex_query", str(f), "-q", "ccg"])
+    assert "2nd 9 CCG" in capsys.readouterr().out
+    commands.main(["fmindex_build", str(f), "-k", "256", "-t", "2"])
+    capsys.readouterr()
+    with pytest.raises(SystemExit):
+        commands.main(["suffix_sort", str(f), "-g"])
     b = tmp_path / "b.bin"
     b.write_bytes(struct.pack("<II", 2, 3) + b"CGGTTT")
     commands.main(["fmindex_query", str(f), "-b", str(b)])
