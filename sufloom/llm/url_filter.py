@@ -1,9 +1,10 @@
 """URL filters: host and path rules, and logistic regression on hashed character n-grams for the rest.
 
-DataFrame functions alone do the work. A URL's features are the distinct hashes, into `dim` buckets, of the n-grams of
-"^host$" and of "^path$", those of the host and of the path apart. The model is trained by epochs of stochastic gradient
-steps over a small labelled table (`url`, `label`: 1 is block), folded into one aggregate expression over its rows in
-order of their hashes; its weights are a constant of fixed size in the scoring plan.
+DataFrame functions alone do the work. A URL's features are the distinct md5 hashes, into `dim` buckets, of the n-grams of
+"^host$" and of "^path$", those of the host and of the path apart. The model is trained on a small labelled table (`url`,
+`label`: 1 is block) by `epochs` gradient steps over all its rows, in one expression: each weight shrinks by `decay` and
+moves by the gaps of the rows that hold its bucket, divided by their number plus `smooth`, so that rare n-grams count
+less. Weights are a constant of fixed size in the scoring plan.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule and the verdict of the model for
 empty features (its constant). Repeated rows come back as often as they came. A training table without rows gives the
@@ -13,45 +14,55 @@ verdict allow. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Labelled URLs to train on: fixed sample data, (url, 1 = block).
-LABELLED = [
-    ("https://casino-win.example.org/en/101", 1),
-    ("http://www.casino-win.example.net/bonus/77?ref=x", 1),
-    ("https://m.free-bets.example.org/de/5", 1),
-    ("https://free-bets.example.net/en/bet-now.html", 1),
-    ("http://cheap-pills.example.org/en/9", 1),
-    ("https://www.cheap-pills.example.net/buy-pills/3", 1),
-    ("https://ads-track.example.org/click?utm_source=feed", 1),
-    ("http://m.ads-track.example.net/track/55", 1),
-    ("https://online-casino.example.org/slots/jackpot", 1),
-    ("https://win-poker-cash.example.net/en/free-spins", 1),
-    ("http://sports-betting.example.org/odds/1.html", 1),
-    ("https://pills-online.example.net/viagra/cheap", 1),
-    ("https://adserver.example.org/banner/track.gif", 1),
-    ("http://click-ads.example.net/popup/8", 1),
-    ("https://adult-cams.example.org/live/xxx", 1),
-    ("https://payday-loans.example.net/apply-now", 1),
-    ("https://news.example.org/en/2024/07/story.html", 0),
-    ("https://www.example.org/about", 0),
-    ("http://docs.example.org/guide/install.html", 0),
-    ("https://blog.example.net/de/4411", 0),
-    ("https://library.example.org/catalogue/8812", 0),
-    ("http://m.weather.example.net/en/berlin", 0),
-    ("https://university.example.org/research/papers/12", 0),
-    ("https://recipes.example.net/de/apfelkuchen", 0),
-    ("https://forum.example.org/thread/9931?page=2", 0),
-    ("http://museum.example.net/es/visita", 0),
-    ("https://history.example.org/fr/1789.html", 0),
-    ("https://travel.example.net/en/7744", 0),
-    ("https://theatre.example.org/en/5566/", 0),
-    ("https://www.gardening.example.net/en/3141", 0),
-    ("http://blog.school.example.org/es/2718?utm_source=feed", 0),
-    ("https://m.station.example.net/de/1618#top", 0),
-]
+# Buckets of n-grams.
+DIM = 4096
+
+# Words of labelled hosts and paths: fixed values. labelled_urls() makes the labelled table from them by rule.
+BLOCKED_WORDS = (
+    "casino poker roulette jackpot slots betting bookmaker gambling lottery bingo viagra pharmacy pills steroids porn xxx adult "
+    "escorts webcams nudes erotic sexchat payday moneylender adserver adclick banners popups tracker tracking spam spammers "
+    "malware phishing spyware warez keygen cracked replica counterfeit"
+).split()
+ORDINARY_WORDS = (
+    "news weather library museum history travel recipes cooking garden school university science physics biology chemistry "
+    "mathematics language grammar dictionary theatre concert orchestra painting gallery literature poetry novel review journal "
+    "archive research hospital medicine clinic nursing council parliament election justice railway airport harbour bridge "
+    "village mountain forest river island football cycling running swimming chess carpentry pottery knitting computing "
+    "software database compiler network documentation tutorial astronomy geology climate farming beekeeping market bakery "
+    "radio television cinema photography architecture furniture insurance banking pension translation"
+).split()
+COMMON_WORDS = "my the new best top online world city west north group team club land daily direct point zone central first pro net".split()
+SYLLABLES = "ba ber con da dor el fen gar hal in jo ka lan mer nor on per qui ran sel ta the tion ul ver wen xi yor zan st".split()
+SECTIONS = "en de fr es it pages articles item view go".split()
+
+
+def labelled_urls(n: int = 900) -> list[tuple[str, int]]:
+    """n URLs with labels (1 is block), two in three ordinary. A host's name is a word of its class, alone or with a common
+    word or a second word of its class; a third of the ordinary ones are names made of syllables. Subdomains, domains
+    (reserved for examples), sections and numbers are drawn alike for both classes; some paths hold a word of the class."""
+
+    def pick(i: int, what: str, options: list[str]) -> str:
+        return options[zlib.crc32(f"{i} {what}".encode()) % len(options)]
+
+    def one(i: int) -> tuple[str, int]:
+        block = i % 3 == 0
+        words = BLOCKED_WORDS if block else ORDINARY_WORDS
+        word, second, common = pick(i, "word", words), pick(i, "second", words), pick(i, "common", COMMON_WORDS)
+        name = pick(i, "name", [word, f"{word}-{common}", f"{common}-{word}", f"{word}{common}", f"{common}{word}", f"{word}-{second}", f"{word}{second}"])
+        if i % 3 == 2 and i % 2:
+            name = "".join(pick(i, f"syllable {k}", SYLLABLES) for k in range(2 + i % 4))
+        host = pick(i, "sub", ["", "", "www.", "m.", "blog."]) + name + ".example." + pick(i, "domain", ["com", "org", "net"])
+        number = str(zlib.crc32(f"{i} number".encode()) % 10000)
+        section = pick(i, "section", SECTIONS)
+        path = pick(i, "path", [f"/{section}/{number}", f"/{section}/{number}/", f"/{section}/{number}.html", f"/{second}/{number}", f"/{section}/{word}", "/"])
+        return pick(i, "scheme", ["http://", "https://"]) + host + path, int(block)
+
+    return [one(i) for i in range(n)]
 
 # (host and subdomains, first part of the path, verdict)
 Rule = tuple[str, str, str]
@@ -80,34 +91,47 @@ def grams(text: Column, kind: str, widths: tuple[int, ...], dim: int) -> Column:
 
     def hashed(n: int) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))
-        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.concat(F.lit(kind), F.substring(marked, i, F.lit(n)))), F.lit(dim)).cast("int"))
+        return F.transform(at, lambda i: F.conv(F.substring(F.md5(F.concat(F.lit(kind), F.substring(marked, i, F.lit(n)))), 1, 4), 16, 10).cast("int") % dim)
 
     return F.concat(*map(hashed, widths))
 
 
-def features(host: Column, path: Column, widths: tuple[int, ...] = (3, 4), dim: int = 1024) -> Column:
+def features(host: Column, path: Column, widths: tuple[int, ...] = (3, 4), dim: int = DIM) -> Column:
     """Distinct buckets of the n-grams; none for an empty host and path."""
     none = F.array().cast("array<int>")
     return F.when(F.length(host) + F.length(path) > 0, F.array_distinct(F.concat(grams(host, "h", widths, dim), grams(path, "p", widths, dim)))).otherwise(none)
 
 
-def train(labelled: DataFrame, dim: int = 1024, epochs: int = 30, rate: float = 0.3, decay: float = 1e-4) -> list[float]:
-    """Weights of the buckets and, last, the constant. labelled must be small: its rows are folded one by one."""
+def train(labelled: DataFrame, dim: int = DIM, epochs: int = 60, rate: float = 8.0, decay: float = 1e-3, smooth: float = 4.0) -> list[float]:
+    """Weights of the buckets and, last, the constant. labelled must be small: its rows meet in one expression. rate is divided
+    by the mean number of features of a row."""
     host, path = parsed(F.col("url"))
-    rows = labelled.select(F.xxhash64("url").alias("order"), features(host, path, dim=dim).alias("x"), F.col("label").cast("double").alias("y")).where("y is not null")
-    one = rows.agg(F.array_sort(F.collect_list(F.struct("order", "x", "y"))).alias("rows"))
+    x = F.concat(features(host, path, dim=dim), F.array(F.lit(dim)))
+    rows = labelled.select(x.alias("x"), F.col("label").cast("double").alias("y")).where("y is not null")
+    table = rows.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("rows"), F.avg(F.size("x")).alias("mean"))
+    held = table.select(F.posexplode("rows").alias("row", "r")).select("row", F.explode("r.x").alias("bucket"))
+    held = labelled.sparkSession.range(dim + 1).join(held, F.col("id") == F.col("bucket"), "left").groupBy("id").agg(F.array_sort(F.collect_list("row")).alias("held"))
+    one = table.crossJoin(held.agg(F.array_sort(F.collect_list(F.struct("id", "held"))).alias("buckets")))  # one row beside one row
 
-    def step(w, row):
-        z = F.aggregate(row["x"], F.element_at(w, dim + 1), lambda s, i: s + F.element_at(w, i + 1))
-        gap = (row["y"] - 1 / (1 + F.exp(-z))) * rate
-        return F.transform(w, lambda v, i: v * (1 - decay) + F.when((i == dim) | F.array_contains(row["x"], i), gap).otherwise(0.0))
+    def gap(w, r):
+        return r["y"] - 1 / (1 + F.exp(-F.aggregate(r["x"], F.lit(0.0), lambda s, i: s + F.element_at(w, i + 1))))
+
+    def moved(w, gaps):
+        def weight(b, j):
+            total = F.aggregate(b["held"], F.lit(0.0), lambda s, row: s + F.element_at(gaps, row + 1))
+            return F.element_at(w, j + 1) * (1 - decay) + rate / F.col("mean") * total / (F.size(b["held"]) + smooth)
+
+        return F.transform("buckets", weight)
+
+    def step(w, _):
+        return F.element_at(F.transform(F.array(F.transform("rows", lambda r: gap(w, r))), lambda gaps: moved(w, gaps)), 1)
 
     zero = F.array_repeat(F.lit(0.0), dim + 1)
-    fitted = F.aggregate(F.flatten(F.array_repeat(F.col("rows"), epochs)), zero, step)
-    return list(one.select(fitted.alias("w")).first()["w"])
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(epochs)), zero, step)
+    return list(one.select(F.when(F.size("rows") > 0, fitted).otherwise(zero).alias("w")).first()["w"])
 
 
-def judge(pages: DataFrame, rules: list[Rule], weights: list[float], dim: int = 1024) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], weights: list[float], dim: int = DIM) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the model's probability of block) of each row of pages (page_id, url)."""
     host, path = parsed(F.col("url").cast("string"))
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
@@ -120,5 +144,5 @@ def judge(pages: DataFrame, rules: list[Rule], weights: list[float], dim: int =
 
 
 def sample_urls(spark: SparkSession) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in LABELLED))
+    rows = F.from_json(F.lit(json.dumps([{"url": u, "label": y} for u, y in labelled_urls()])), "array<struct<url:string,label:int>>")
     return spark.range(1).select(F.explode(rows).alias("x")).select("x.url", "x.label")

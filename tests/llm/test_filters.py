@@ -2,6 +2,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -164,11 +165,43 @@ def test_url_model_learns_its_table(spark):
     assert set(url_filter.train(table.limit(0))) == {0.0}
 
 
+def name_of(url):
+    return re.sub(r"^(www|m|blog)[.]", "", parts(url)[0]).split(".example.")[0]
+
+
+def test_url_model_on_hosts_it_never_saw(spark):
+    """A third of the host names is held out, with all their URLs."""
+    apart = F.crc32(F.regexp_replace(F.regexp_extract("url", "://([^/]*)[.]example[.]", 1), "^(www|m|blog)[.]", "")) % 3 == 0
+    table = url_filter.sample_urls(spark)
+    rows = url_filter.judge(table.where(apart).select(F.struct("url", "label").alias("page_id"), "url"), [], url_filter.train(table.where(~apart))).collect()
+    names = {name_of(r["page_id"]["url"]) for r in rows}
+    assert len(rows) > 250 and names.isdisjoint(name_of(u) for u, _ in url_filter.labelled_urls() if zlib.crc32(name_of(u).encode()) % 3)
+    hit = sum(r["score"] > 0.5 and r["page_id"]["label"] == 1 for r in rows)
+    assert hit / sum(r["score"] > 0.5 for r in rows) >= 0.95  # precision
+    assert hit / sum(r["page_id"]["label"] == 1 for r in rows) >= 0.9  # recall
+
+
 def test_url_query(spark, sf):
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
-    for r in op6.query(spark, sf).collect():
+    rows = op6.query(spark, sf).collect()
+    for r in rows:
         assert (r["host"], r["path"]) == parts(urls[r["page_id"]])
         assert r["verdict"] in ("allow", "block")
+    assert {name_of(u) for u in urls.values()}.isdisjoint(name_of(u) for u, _ in url_filter.labelled_urls())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{sf}/pages.parquet')")
+    want = con.execute(op6.ORACLE_SQL).fetchall()
+    key = lambda r: (r[0], r[1], r[2], r[3] or "", r[4])
+    assert sorted(map(key, want)) == sorted(map(key, map(tuple, rows)))
+
+
+def test_url_sql_on_odd_urls(spark, tmp_path):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS + ["http://poker.example.org/x", None])], "page_id long, url string").withColumn("html", F.lit(""))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = {tuple(r) for r in op6.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(URLS) + 2 and got == set(con.execute(op6.ORACLE_SQL).fetchall())
 
 
 def test_held_out_rows_follow_the_checksum(spark):
