@@ -57,6 +57,96 @@ def test_kernel_tolerates_gaps_and_inserted_characters():
     assert "idiot" in toxicity.tokens_of("you i d i o t there")
 
 
+def plain_statistics(text):
+    """The classifier's statistics, counted one by one."""
+    text = text or ""
+    words = re.findall(r"\S+", text)
+    if not words:
+        return [0.0] * len(quality.FEATURES)
+    n, size = len(words), len(text.encode())
+    upper, lower, digit = (sum(a <= c <= b for c in text) for a, b in ("AZ", "az", "09"))
+    marks = sum(c in "#$%&*@^~_+=<>{}[]\\" for c in text)
+    lines = [x for x in text.split("\n") if x != ""]
+    letters = size - text.count(" ") - text.count("\n")
+
+    def share(part, whole):
+        return np.log((part + 0.5) / (whole + 50.0) + 1e-3)
+
+    return [
+        np.log(n + 1), np.log((letters + 5) / (n + 1)), share(len([w for w in words if len(w) > 14]), n), share(upper, upper + lower), share(digit, size), share(text.count("!"), n),
+        share(marks, n), share(text.count("|"), n), share(text.count("."), n), share(len([w for w in words if not w[-1].isalnum()]), n), np.log((len(set(words)) + 5) / (n**0.8 + 5)),
+        share(len([i for i in range(1, n) if words[i] == words[i - 1]]), n), share(max(words.count(w) for w in set(words)) - 1, n), np.log((n + 1) / (len(lines) + 1)),
+        share(len(lines) - len(set(lines)), len(lines)), share(len([w for w in words if w.isalpha() and w == w.lower()]), n),
+    ]
+
+
+def test_quality_query_equals_brute_force(spark, sf):
+    rows = {r["doc_id"]: r for r in op5.query(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert rows.keys() == texts.keys()
+    x = {i: np.array(plain_statistics(t)) for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in texts}
+    own = {c: np.array([x[i] for i, y in labels.items() if i in x and y == c and not held[i]]) for c in (0, 1)}
+    n = len(own[0]) + len(own[1])
+    covs = {c: np.cov(v.T, bias=True) for c, v in own.items()}
+    pooled = sum(len(own[c]) / n * covs[c] for c in covs)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    dens = {}
+    z = np.array([x[i] for i in rows])
+    for c in (0, 1):
+        cov = (0.9 * covs[c] + 0.1 * pooled) / np.outer(scale, scale)
+        cov = 0.95 * cov + 0.05 * np.diag(np.diag(cov) + 0.1)
+        r = (z - own[c].mean(axis=0)) / scale
+        dens[c] = -0.5 * np.einsum("ij,jk,ik->i", r, np.linalg.inv(cov), r) - 0.5 * np.linalg.slogdet(cov)[1]
+    want = 1 / (1 + np.exp(-np.clip(dens[1] - dens[0] + np.log(len(own[1]) / len(own[0])), -700, 700)))
+    assert np.allclose([r["score"] for r in rows.values()], want, atol=1e-6)
+    assert all(r["held_out"] == held[i] and r["predicted"] == int(r["score"] >= 0.5) for i, r in rows.items())
+
+
+def listed(word):
+    """The subsequences of a word with the sums of their weights, and the norm."""
+    marked, out = "\x02" + word + "\x03", {}
+    for i in range(len(marked)):
+        for j in range(i + 1, len(marked)):
+            for k in range(j + 1, min(i + toxicity.SPAN, len(marked))):
+                key = marked[i] + marked[j] + marked[k]
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+    return out, np.sqrt(sum(v * v for v in out.values()))
+
+
+def plain_kernel(p, q):
+    """The kernel of two listed words."""
+    return min(1.0, sum(v * q[0].get(k, 0) for k, v in p[0].items()) / (p[1] * q[1])) ** toxicity.POWER if p[1] and q[1] else 0.0
+
+
+def test_toxicity_scores_equal_brute_force(spark, sf):
+    big = sf.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    scorer = toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("label")), op7.held_out())
+    rows = {r["doc_id"]: r for r in op7.query(spark, big).collect()}
+    some = [i for y in (0, 1) for i in [i for i, r in sorted(rows.items()) if r["predicted"] == y][:8]]
+    texts = {r["doc_id"]: r["text"] for r in docs.where(F.col("doc_id").isin(some)).collect()}
+    marks, value = [listed(w) for w in scorer.words], {}
+    for i, text in texts.items():
+        tokens = (text or "").split()
+        tokens += [m.replace(" ", "") for m in re.findall(r"(?<!\S)\w(?: \w){3,}(?!\S)", text or "")]
+        parts, now = [], []
+        for t in tokens:
+            now.append(t)
+            if t[-1] in ".!?":
+                parts, now = [*parts, now], []
+        parts += [now] if now or not parts else []
+        for t in set(tokens) - value.keys():
+            own = listed(toxicity.plain(t))
+            value[t] = sum(v * plain_kernel(own, m) for v, m in zip(scorer.values, marks))
+        sums = sorted((sum(value[t] for t in set(p)) + scorer.constant for p in parts), reverse=True) + [scorer.constant]
+        want = 1 / (1 + np.exp(-np.clip(scorer.curve[0] * sums[0] + scorer.curve[1] * sums[1] + scorer.curve[2], -500, 500)))
+        assert abs(rows[i]["score"] - want) < 0.02, (i, rows[i]["score"], want)
+        assert rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and rows[i]["predicted"] == int(rows[i]["score"] >= 0.5)
+    assert len(texts) == len(some) == 16
+
+
 def test_discriminant_equals_direct_densities():
     rng = np.random.default_rng(0)
     d = len(quality.FEATURES)
