@@ -108,10 +108,13 @@ def train(labelled: DataFrame, dim: int = DIM, epochs: int = 60, rate: float = 8
     host, path = parsed(F.col("url"))
     x = F.concat(features(host, path, dim=dim), F.array(F.lit(dim)))
     rows = labelled.select(x.alias("x"), F.col("label").cast("double").alias("y")).where("y is not null")
-    table = rows.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("rows"), F.avg(F.size("x")).alias("mean"))
-    held = table.select(F.posexplode("rows").alias("row", "r")).select("row", F.explode("r.x").alias("bucket"))
+    rows = rows.select(F.struct("x", "y").alias("r"))
+    numbered = rows.agg(F.array_sort(F.collect_list("r")).alias("rows")).select(F.posexplode("rows").alias("row", "r"))
+    held = numbered.select("row", F.explode("r.x").alias("bucket"))
     held = labelled.sparkSession.range(dim + 1).join(held, F.col("id") == F.col("bucket"), "left").groupBy("id").agg(F.array_sort(F.collect_list("row")).alias("held"))
-    one = table.crossJoin(held.agg(F.array_sort(F.collect_list(F.struct("id", "held"))).alias("buckets")))  # one row beside one row
+    both = rows.unionByName(held.select(F.struct("id", "held").alias("b")), allowMissingColumns=True)
+    size = F.when(F.col("r").isNotNull(), F.size("r.x"))
+    one = both.agg(F.array_sort(F.collect_list("r")).alias("rows"), F.array_sort(F.collect_list("b")).alias("buckets"), F.avg(size).alias("mean"))
 
     def gap(w, r):
         return r["y"] - 1 / (1 + F.exp(-F.aggregate(r["x"], F.lit(0.0), lambda s, i: s + F.element_at(w, i + 1))))
