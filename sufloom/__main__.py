@@ -17,33 +17,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sufloom.functions.codec import normalize_dna, ordinal, validated
-from sufloom.operators import index, search, suffixes
+from sufloom.operators import index, packed, search, suffixes
 from sufloom.sources import files
 from sufloom.sources.scratch import materialize
 
 VERSION = "0.2"
 
 
-def joined_blocks(spark: SparkSession, path: str) -> DataFrame:
-    lines = files.read_sequence(spark, path).select("file", "block", "line", validated(normalize_dna(F.col("seq"))).alias("text"))
+def joined_blocks(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    seq = F.col("seq")
+    if strict:  # checked before anything is folded
+        seq = validated(F.upper(seq))
+    lines = files.read_sequence(spark, path).select("file", "block", "line", normalize_dna(seq).alias("text"))
     return materialize(suffixes.concatenated(lines, "file", "block", "line"), "blocks")
 
 
-def suffix_sort(spark: SparkSession, path: str, k: int = 256, algorithm: str = "PARALLEL_SORTING") -> DataFrame:
-    """seq_id 0, r, pos. k of at most 256 for range sorting; -1 and greater values go by prefix doubling."""
-    blocks = joined_blocks(spark, path)
-    if algorithm.upper() == "PARALLEL_SORTING" and 0 < k <= suffixes.CHUNK:
-        return suffixes.suffix_array(suffixes.suffixes_of_blocks(blocks, k), "range").select("seq_id", "r", "pos")
-    ranks = suffixes.doubled(suffixes.suffixes_of_blocks(blocks, 1), None if k < 0 else k, "range")
-    return ranks.select("seq_id", F.col("rk").alias("r"), "pos")
+def suffix_sort(spark: SparkSession, path: str, k: int = 256, algorithm: str = "PARALLEL_SORTING", counts: list[int] | None = None) -> DataFrame:
+    """seq_id 0, r, pos, by packed characters and a refinement of ties. PREFIX_DOUBLING, and -1 or k of more than 256, refine by
+    doubling. counts takes the number of suffixes that each round ranks."""
+    blocks = joined_blocks(spark, path).select(F.lit(0).cast("long").alias("seq_id"), "block", "text")
+    doubling = algorithm.upper() == "PREFIX_DOUBLING" and not 0 < k <= packed.WORD
+    depth = None if k < 0 or doubling and k <= packed.CHUNK else k
+    return packed.ordered(blocks, depth, True, counts).select("seq_id", "r", "pos")
 
 
-def fmindex_build(spark: SparkSession, path: str) -> str:
-    """Writes the index tables, ordered by 32 characters, and the text's blocks; returns their folder."""
+def fmindex_build(spark: SparkSession, path: str, strict: bool = False, interval: int = 4) -> str:
+    """Writes the index tables, ordered by whole suffixes, and the text's blocks; returns their folder. strict: text of other
+    characters than nucleotides is an error, and the index that is there stays."""
     out = f"{path}.index"
-    blocks = joined_blocks(spark, path)
-    sa = materialize(suffixes.suffix_array(suffixes.suffixes_of_blocks(blocks, 32), "range"), "sa")
-    files.save_index({**index.build_tables(sa), "blocks": blocks}, out)
+    blocks = joined_blocks(spark, path, strict)
+    sa = materialize(suffixes.array_of_blocks(blocks, None), "sa")
+    files.save_index({**index.build_tables(sa, interval), "blocks": blocks}, out, order=None, interval=interval)
     return out
 
 
@@ -76,7 +80,8 @@ def main(argv: list[str] | None = None) -> None:
     sort.add_argument("-k", "--kordered", type=int, default=256)
     sort.add_argument("-s", "--sorting-algorithm", default="PARALLEL_SORTING", type=str.upper, choices=["PARALLEL_SORTING", "PREFIX_DOUBLING"])
     build = commands.add_parser("fmindex_build")
-    build.add_argument("-k", "--kordered", type=int, default=256, help="accepted; an index is always ordered by 32 characters")
+    build.add_argument("-k", "--kordered", type=int, default=256, help="accepted; an index is always ordered by whole suffixes")
+    build.add_argument("--strict", action="store_true", help="text of other characters than nucleotides is an error")
     ask = commands.add_parser("fmindex_query")
     ask.add_argument("-q", "--query")
     ask.add_argument("-n", "--headn", type=int, default=10)
@@ -98,11 +103,11 @@ def main(argv: list[str] | None = None) -> None:
         suffix_sort(spark, args.file, args.kordered, args.sorting_algorithm).write.format("noop").mode("overwrite").save()
         print(f"sorted in {time.time() - began:.3f} s")
     elif args.command == "fmindex_build":
-        print(fmindex_build(spark, args.file))
+        print(fmindex_build(spark, args.file, args.strict))
     else:
         if args.query:
             one = spark.range(1).select(F.lit(0).alias("pattern_id"), F.lit(args.query.upper()).alias("pattern"))
-            hits = located(spark, args.file, one).cache()
+            hits = located(spark, args.file, one)
             print(f"{hits.count()} occurrences")
             top = hits.orderBy("pos").limit(args.headn).withColumn("k", F.row_number().over(Window.orderBy("pos")))
             for r in shown(spark, args.file, top, len(args.query)).orderBy("k").collect():  # headn rows

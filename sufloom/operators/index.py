@@ -35,8 +35,8 @@ def occurrence_ranks(sa: DataFrame) -> DataFrame:
 def occurrence_checkpoints(sa: DataFrame, every: int = 256) -> DataFrame:
     """occurrence_ranks at each multiple of `every`: sums of blocks, and running sums of those."""
     blocks = sa.groupBy("seq_id", F.expr(f"r div {every}").alias("b")).agg(*(F.count_if(F.col("bwt") == c).alias(f"n_{c}") for c in LETTERS))
-    before = Window.partitionBy("seq_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select("seq_id", (F.col("b") * every).alias("r"), *(F.coalesce(F.sum(f"n_{c}").over(before), F.lit(0)).alias(f"o_{c}") for c in LETTERS))
+    sums = running_sums(blocks, [f"n_{c}" for c in LETTERS])
+    return sums.select("seq_id", (F.col("b") * every).alias("r"), *(F.col(f"n_{c}").alias(f"o_{c}") for c in LETTERS))
 
 
 def sampled(sa: DataFrame, interval: int = 4) -> DataFrame:
@@ -110,9 +110,9 @@ def invert(sa: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("the inversion did not end")
 
 
-def build_tables(sa: DataFrame) -> dict[str, DataFrame]:
+def build_tables(sa: DataFrame, interval: int = 4, width: int = 64, length: int = 4) -> dict[str, DataFrame]:
     """The tables that files.save_index writes."""
     return {
-        "sa": sa, "c_table": c_table(sa), "sampled": sampled(sa), "bitmap": sample_bitmap(sa), "lookup": kmer_lookup(sa),
-        "transform": transform_blocks(sa), "primary": primary_rows(sa),
+        "sa": sa, "c_table": c_table(sa), "sampled": sampled(sa, interval), "bitmap": sample_bitmap(sa, interval), "lookup": kmer_lookup(sa, length),
+        "transform": transform_blocks(sa, width), "primary": primary_rows(sa),
     }

@@ -6,17 +6,19 @@ begin with single characters. Deeper orders come from prefix doubling: ranks by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
-_CODE = np.full(256, 255, np.uint8)
-_CODE[[ord(c) for c in "ACGT"]] = [0, 1, 2, 3]
+CODES = np.full(256, 255, np.uint8)
+CODES[[ord(c) for c in "ACGT"]] = [0, 1, 2, 3]
 
 
 def first_ranks(text: str, depth: int) -> tuple[int, np.ndarray]:
     """How many characters are compared, at most depth, and the ranks of all suffixes by them; 0 the empty suffix."""
     n = len(text)
-    codes = _CODE[np.frombuffer(text.encode(), np.uint8)] if text.isascii() else None
+    codes = CODES[np.frombuffer(text.encode(), np.uint8)] if text.isascii() else None
     if codes is None or (codes == 255).any():
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
         return 1, np.unique(np.append(points, 0), return_inverse=True)[1]
@@ -58,17 +60,19 @@ def strings(data: np.ndarray, lens: np.ndarray, nulls: np.ndarray | None = None)
     return pa.StringArray.from_buffers(len(lens), pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes()), valid)
 
 
-def columns_of(text: str, k: int | None, carry: int) -> list[pa.Array]:
-    """r, pos, p (the first `carry` characters) and bwt of all suffixes of a text, in order."""
-    order, n = text_order(text, k), len(text)
-    if text.isascii():
-        raw = np.frombuffer(text.encode() + bytes(carry + 1), np.uint8)
-        inner = order > 0
-        bwt = strings(raw[order[inner] - 1], inner.astype(np.int64), ~inner)
-        lens = np.minimum(n - order, carry)
-        rows = np.lib.stride_tricks.sliding_window_view(raw, carry)[order] if carry else np.zeros((n + 1, 0), np.uint8)
-        p = strings(rows[np.arange(carry)[None, :] < lens[:, None]], lens)
-    else:
-        bwt = pa.array([text[i - 1] if i else None for i in order.tolist()], pa.string())
-        p = pa.array([text[i : i + carry] for i in order.tolist()], pa.string())
-    return [pa.array(np.arange(n + 1, dtype=np.int64)), pa.array(order.astype(np.int64)), p, bwt]
+def columns_of(text: str, k: int | None, carry: int, size: int = 1 << 62) -> Iterator[list[pa.Array]]:
+    """r, pos, p (the first `carry` characters) and bwt of all suffixes of a text, in order, in slices of `size` rows."""
+    whole, n = text_order(text, k), len(text)
+    raw = np.frombuffer(text.encode() + bytes(carry + 1), np.uint8) if text.isascii() else None
+    for at in range(0, n + 1, size):
+        order = whole[at : at + size]
+        if raw is not None:
+            inner = order > 0
+            bwt = strings(raw[order[inner] - 1], inner.astype(np.int64), ~inner)
+            lens = np.minimum(n - order, carry)
+            rows = np.lib.stride_tricks.sliding_window_view(raw, carry)[order] if carry else np.zeros((len(order), 0), np.uint8)
+            p = strings(rows[np.arange(carry)[None, :] < lens[:, None]], lens)
+        else:
+            bwt = pa.array([text[i - 1] if i else None for i in order.tolist()], pa.string())
+            p = pa.array([text[i : i + carry] for i in order.tolist()], pa.string())
+        yield [pa.array(np.arange(at, at + len(order), dtype=np.int64)), pa.array(order.astype(np.int64)), p, bwt]

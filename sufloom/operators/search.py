@@ -123,7 +123,8 @@ def backward_search(patterns: DataFrame, counts: DataFrame, blocks: DataFrame, s
 
     Before each step a range of at most `stop` rows ends the search (an empty one always does); remaining is the number
     of characters left. An empty pattern, or an empty range to go on
-    from, has nothing remaining. start: (pattern_id, seq_id, beg, end), ranges to go on from,
+    from, has nothing remaining. The array must be ordered by whole suffixes: on one ordered by k characters, suffixes that
+    repeat k characters may change places in a step. start: (pattern_id, seq_id, beg, end), ranges to go on from,
     those of what follows the pattern; else all rows of each text. counts: index.c_table; blocks: index.transform_blocks,
     of `width` rows. The state is written to the shared folder every few steps.
     """
@@ -154,8 +155,8 @@ def backward_search(patterns: DataFrame, counts: DataFrame, blocks: DataFrame, s
 
 
 def located(ranges_: DataFrame, counts: DataFrame, blocks: DataFrame, sampled: DataFrame, interval: int = 4, width: int = 64) -> DataFrame:
-    """pattern_id, seq_id, r, pos of every row of the ranges (pattern_id, seq_id, beg, end), from the sampled array alone: a
-    row goes on to that of the position before it until it meets a sampled one, `interval` - 1 steps at most."""
+    """pattern_id, seq_id, r, pos of every row of the ranges (pattern_id, seq_id, beg, end), from the sampled array alone, of
+    an array ordered by whole suffixes: a row goes on to that of the position before it until it meets a sampled one, `interval` - 1 steps at most."""
     rows = ranges_.where("beg < end").select("pattern_id", "seq_id", F.explode(F.sequence(F.col("beg"), F.col("end") - 1)).alias("r"))
     state = rows.withColumn("at", F.col("r"))
     samples = sampled.select("seq_id", F.col("r").alias("at"), F.col("pos").alias("_pos"))

@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sufloom.operators.ranking import columns_of
-from sufloom.sources.scratch import discard, materialize, partitions_of
+from sufloom.operators import packed
+from sufloom.operators.packed import CHUNK
+from sufloom.operators.ranking import columns_of, text_order
+from sufloom.sources.scratch import materialize
 
-CHUNK = 256
-GIANT = 1 << 20  # characters; longer texts are ranked by many tasks
+GIANT = 1 << 22  # characters; longer texts are ranked by many tasks, shorter ones take a task some 250 MB at most
+SLICE = 100_000  # rows that a task makes into columns at once
 TASK_CHARACTERS = 4 << 20  # of texts for each task, where the session's shuffle partitions are fewer
 NAMES = ["seq_id", "r", "pos", "p", "bwt"]
 
@@ -58,7 +60,9 @@ def arrays(texts: DataFrame, k: int | None = 32, carry: int | None = None, giant
     or none where k is None).
 
     Texts are dealt out to tasks, which order each text of up to `giant` characters in place, so no suffix is shuffled;
-    longer texts are sorted by range partitions of their suffixes, or ranked by prefix doubling, over many tasks.
+    longer texts of A, C, G, T are sorted by packed characters over range partitions, ties refined (packed.ordered), and
+    longer texts of other characters by their first characters or by prefix doubling. Each row is a text of its own, so
+    ids should differ: a repeated seq_id gives two arrays under one id.
     """
     carry = (k or 0) if carry is None else carry
     rows = texts.select(F.col("seq_id").cast("long").alias("seq_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -68,13 +72,13 @@ def arrays(texts: DataFrame, k: int | None = 32, carry: int | None = None, giant
     def run(batches):
         ready, number = [], 0
         for batch in batches:
-            for seq_id, text in zip(batch.column("seq_id").to_pylist(), batch.column("text").to_pylist()):
-                own = columns_of(text, k, carry)
-                ready.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), seq_id, np.int64)), *own], names=NAMES))
-                number += len(own[0])
-                if number >= 100_000:
-                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-                    ready, number = [], 0
+            for seq_id, text in zip(batch.column("seq_id").to_pylist(), batch.column("text")):
+                for own in columns_of(text.as_py(), k, carry, SLICE):
+                    ready.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), seq_id, np.int64)), *own], names=NAMES))
+                    number += len(own[0])
+                    if number >= SLICE:
+                        yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                        ready, number = [], 0
         if ready:
             yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
 
@@ -83,6 +87,12 @@ def arrays(texts: DataFrame, k: int | None = 32, carry: int | None = None, giant
     if (longest or 0) <= giant:
         return out
     large = rows.where(F.length("text") > giant)
+    plain = large.where(~F.col("text").rlike("[^ACGT]"))
+    if carry <= packed.WORD and not plain.isEmpty():
+        out = out.unionByName(packed.unpacked(packed.ordered(packed.blocks_of(plain), k, single=False), carry))
+        large = large.where(F.col("text").rlike("[^ACGT]"))
+        if large.isEmpty():
+            return out
     if k is not None and k <= CHUNK:
         return out.unionByName(suffix_array(suffixes(large, k), "range").withColumn("p", F.substring("p", 1, carry)))
     ranked = doubled(suffixes(large, 1), k, "range").withColumnRenamed("rk", "r")
@@ -90,6 +100,33 @@ def arrays(texts: DataFrame, k: int | None = 32, carry: int | None = None, giant
     return out.unionByName(ranked.join(with_text, ["seq_id", "pos"]).select(*NAMES))
 
 
+def transforms(texts: DataFrame, k: int | None = None, interval: int = 4) -> DataFrame:
+    """seq_id, n (rows), bwt ($ at the primary row), c_A .. c_T, marks, samples of each text of up to GIANT characters, made
+    in the task that orders it: one row a text, so no suffix leaves it. samples are the positions that are multiples of
+    interval, in the order of their rows, and marks has a bit for each row, set at these. Only an order by whole suffixes (k None) can be searched."""
+    rows = texts.select(F.col("seq_id").cast("long").alias("seq_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    longest, size = rows.agg(F.max(F.length("text")), F.sum(F.length("text"))).first()
+    if (longest or 0) > GIANT:
+        raise ValueError(f"texts of more than {GIANT} characters are searched by blocks, see index.transform_blocks")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for seq_id, text in zip(batch.column("seq_id").to_pylist(), batch.column("text").to_pylist()):
+                order, raw = text_order(text, k), np.frombuffer(text.encode(), np.uint8)
+                bwt = np.where(order > 0, raw[order - 1] if len(raw) else 0, ord("$")).astype(np.uint8)
+                n = [int((raw == ord(c)).sum()) for c in "ACGT"]
+                marked = order % interval == 0
+                out.append((seq_id, len(order), bwt.tobytes().decode(), 1, 1 + n[0], 1 + sum(n[:2]), 1 + sum(n[:3]), np.packbits(marked).tobytes(), order[marked]))
+            columns = list(zip(*out)) if out else [[]] * 9
+            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["seq_id", "n", "bwt", "c_A", "c_C", "c_G", "c_T", "marks", "samples"])
+
+    dealt = rows.repartition(max(parts, (size or 0) // TASK_CHARACTERS), "seq_id")
+    return dealt.mapInArrow(run, "seq_id long, n long, bwt string, c_A long, c_C long, c_G long, c_T long, marks binary, samples array<long>")
+
+
 def concatenated(texts: DataFrame, *order: str) -> DataFrame:
     """(block, text): all texts joined in that order without separators, in blocks of CHUNK characters.
 
@@ -129,6 +166,16 @@ def suffixes_of_blocks(blocks: DataFrame, k: int = 32) -> DataFrame:
     )
 
 
+def array_of_blocks(blocks: DataFrame, k: int | None = 32, carry: int = 32, counts: list[int] | None = None, giant: int = GIANT) -> DataFrame:
+    """seq_id 0, r, pos, p (up to `carry`, at most 32 characters), bwt of one DNA text in blocks (block, text): by packed
+    characters over range partitions, or in one task if it has at most `giant` characters."""
+    own = blocks.select(F.lit(0).cast("long").alias("seq_id"), "block", "text")
+    if giant >= (blocks.agg(F.sum(F.length("text"))).first()[0] or 0) > 0:
+        whole = own.groupBy("seq_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("block", "text")))["text"], "").alias("text"))
+        return arrays(whole, k, carry, giant)
+    return packed.unpacked(packed.ordered(own, k, True, counts), carry)
+
+
 def suffix_array(suffix_rows: DataFrame, strategy: str = "window") -> DataFrame:
     """seq_id, r, pos, p, bwt. strategy "window" ranks each text in one task, for many texts of ordinary size; "range"
     sorts all suffixes by range partitions and adds partition offsets, for texts too long for one task."""
@@ -202,21 +249,122 @@ def prefix_doubling(texts: DataFrame, k: int | None = None, strategy: str = "win
     return doubled(suffixes(texts, 1), k, strategy)
 
 
+def _runs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal characters begins, and the characters as numbers in their order."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return (np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), codes) if len(codes) else (np.zeros(0, np.int64), codes)
+
+
 def lms_positions(texts: DataFrame) -> DataFrame:
     """seq_id, pos, c of the leftmost S-type positions: a run of equal characters between greater ones begins there.
-    The empty suffix, always one of them, has c null."""
-    rows = suffixes(texts, 1).where("p <> '' and (bwt is null or bwt <> p)").select("seq_id", "pos", F.col("p").alias("c"), F.col("bwt").alias("before"))
-    after = F.lead("c").over(Window.partitionBy("seq_id").orderBy("pos"))
-    inner = rows.withColumn("after", after).where("before > c and after > c").select("seq_id", "pos", "c")
-    ends = texts.select("seq_id", F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("pos"), F.lit(None).cast("string").alias("c"))
-    return inner.unionByName(ends)
+    The empty suffix, always one of them, has c null. A text's runs are found in the task that holds it; one text of many
+    rows is lms_of_blocks()."""
+
+    def run(batches):
+        for batch in batches:
+            for seq_id, text in zip(batch.column("seq_id").to_pylist(), batch.column("text").to_pylist()):
+                starts, codes = _runs(text)
+                c = codes[starts].astype(np.int64)
+                low = np.flatnonzero((c[:-2] > c[1:-1]) & (c[2:] > c[1:-1])) + 1 if len(c) > 2 else np.zeros(0, np.int64)
+                own = pa.array([chr(x) for x in c[low]] + [None], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low) + 1, seq_id, np.int64)), pa.array(np.append(starts[low], len(codes))), own], names=["seq_id", "pos", "c"])
+
+    return _texts(texts).mapInArrow(run, "seq_id long, pos long, c string")
+
+
+def _texts(texts: DataFrame) -> DataFrame:
+    return texts.select(F.col("seq_id").cast("long").alias("seq_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def lms_of_blocks(blocks: DataFrame) -> DataFrame:
+    """pos, c of the leftmost S-type positions of one text in blocks (block, text), the empty suffix with c null.
+
+    A scan over range partitions with a carried state: each partition settles the runs inside it and reports its first and
+    its last run, which may go on in its neighbours; two rows a partition reach the driver, which joins them in order.
+    """
+    spark = blocks.sparkSession
+    size = blocks.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 10_000), size // TASK_CHARACTERS)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, first, last = TaskContext.get().partitionId(), None, None  # runs as [pos, c, before, after]; before and after -1: not known
+
+        def rows(kind, found):
+            columns = [[kind] * len(found), [part] * len(found), *zip(*found)]
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "part", "pos", "c", "before", "after"])
+
+        for batch in batches:
+            text = "".join(batch.column("text").to_pylist())
+            if not text:
+                continue
+            at = batch.column("block")[0].as_py() * CHUNK
+            starts, codes = _runs(text)
+            pos, c = starts + at, codes[starts].astype(np.int64)
+            if last is not None and last[1] == c[0]:
+                pos, c = pos[1:], c[1:]  # the run goes on
+            if not len(pos):
+                continue
+            heads, chars = [p for p in pos.tolist()], c.tolist()
+            if last is not None:  # what was open is settled by the next run
+                last[3] = chars[0]
+                if last[2] >= 0 and last[2] > last[1] and last[3] > last[1]:
+                    yield rows(0, [tuple(last)])
+                if last[2] < 0:
+                    first = tuple(last)
+            inner = np.flatnonzero((c[:-2] > c[1:-1]) & (c[2:] > c[1:-1])) + 1 if len(c) > 2 else []
+            own = [(heads[i], chars[i], chars[i - 1], chars[i + 1]) for i in inner]
+            if len(chars) > 1:
+                head = (heads[0], chars[0], last[1] if last is not None else -1, chars[1])
+                if head[2] < 0:
+                    first = head
+                elif head[2] > head[1] and head[3] > head[1]:
+                    own.append(head)
+            if own:
+                yield rows(0, own)
+            before = chars[-2] if len(chars) > 1 else last[1] if last is not None else -1
+            last = [heads[-1], chars[-1], before, -1]
+        if last is not None:
+            if last[2] < 0:
+                yield rows(3, [tuple(last)])  # the partition is one run
+            else:
+                yield rows(1, [first])
+                yield rows(2, [tuple(last)])
+
+    dealt = blocks.select("block", "text").repartitionByRange(parts, "block").sortWithinPartitions("block")
+    found = materialize(dealt.mapInArrow(run, "kind int, part int, pos long, c long, before long, after long"), "runs")
+    settled, now = [], None  # now: (pos, c, before) of the run that is open
+    for r in found.where("kind > 0").orderBy("part", "kind").collect():  # two rows a partition
+        if r["kind"] == 2:
+            now = (r["pos"], r["c"], r["before"])
+            continue
+        if now is None or now[1] != r["c"]:
+            if now is not None:
+                settled.append((*now, r["c"]))
+            now = (r["pos"], r["c"], now[1] if now is not None else -1)
+        if r["kind"] == 1:
+            settled.append((*now, r["after"]))
+    edges = [(pos, c) for pos, c, before, after in settled if before > c and after > c] + [(size, -1)]
+    both = found.where("kind = 0").select("pos", "c").unionByName(spark.createDataFrame(edges, "pos long, c long"))
+    return both.select("pos", F.when(F.col("c") >= 0, F.expr("char(c)")).alias("c"))
 
 
 def suffix_types(texts: DataFrame) -> DataFrame:
     """seq_id, c, type (S or L), n: how many suffixes begin with c and are smaller (S) or greater (L) than the next one."""
-    rows = suffixes(texts, 1).where("p <> '' and (bwt is null or bwt <> p)").select("seq_id", "pos", F.col("p").alias("c"))
-    w = Window.partitionBy("seq_id").orderBy("pos")
-    length = texts.select("seq_id", F.length("text").cast("long").alias("n"))
-    runs = rows.withColumns({"after": F.lead("c").over(w), "next": F.lead("pos").over(w)}).join(length, "seq_id")
-    size = F.coalesce("next", "n") - F.col("pos")
-    return runs.groupBy("seq_id", "c", F.when(F.col("after") > F.col("c"), "S").otherwise("L").alias("type")).agg(F.sum(size).alias("n"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for seq_id, text in zip(batch.column("seq_id").to_pylist(), batch.column("text").to_pylist()):
+                starts, codes = _runs(text)
+                c, sizes = codes[starts].astype(np.int64), np.diff(np.append(starts, len(codes)))
+                rising = np.append(c[1:] > c[:-1], False) if len(c) else np.zeros(0, bool)
+                keys, place = np.unique(c * 2 + rising, return_inverse=True)
+                totals = np.bincount(place, sizes, len(keys)).astype(np.int64) if len(keys) else []
+                out += [(seq_id, chr(key // 2), "S" if key % 2 else "L", n) for key, n in zip(keys.tolist(), totals)]
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64(), pa.string(), pa.string(), pa.int64()])], names=["seq_id", "c", "type", "n"])
+
+    return _texts(texts).mapInArrow(run, "seq_id long, c string, type string, n long")

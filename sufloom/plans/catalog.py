@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sufloom.functions import codec
-from sufloom.operators import index, search, suffixes
+from sufloom.operators import in_place, index, packed, search, suffixes
 from sufloom.sources import files
 from sufloom.sources.scratch import materialize, new_path
 from sufloom.streaming import patterns as streams
@@ -189,16 +189,37 @@ def general_alphabet_sa(spark, sf_dir):
     return checksum(array_of(part_names(spark, sf_dir), None))
 
 
-@query(
-    f"WITH one AS (SELECT 0 AS seq_id, string_agg({DNA}, '' ORDER BY conv_id, turn) AS text FROM conversations), texts AS (SELECT * FROM one), "
-    + sql_suffixes(32).strip()
-    + f", {SQL_SA} SELECT p[1:2] AS bucket, count(*) AS n, CAST(sum((r % 1000003 + 1) * pos % 1000003) AS BIGINT) AS checksum FROM sa GROUP BY p[1:2]"
-)
+SQL_ONE = f"one AS (SELECT 0 AS seq_id, string_agg({DNA}, '' ORDER BY conv_id, turn) AS text FROM conversations), texts AS (SELECT * FROM one)"
+
+
+def sql_concatenated(suffixes_sql: str) -> str:
+    return f"WITH {SQL_ONE}, {suffixes_sql}, {SQL_SA} SELECT p[1:2] AS bucket, count(*) AS n, CAST(sum((r % 1000003 + 1) * pos % 1000003) AS BIGINT) AS checksum FROM sa GROUP BY p[1:2]"
+
+
+def joined_turns(spark, sf_dir) -> DataFrame:
+    return materialize(suffixes.concatenated(turns(spark, sf_dir), "seq_id"), "blocks")
+
+
+def _concatenated(spark, sf_dir, k: int | None, giant: int) -> DataFrame:
+    sa = suffixes.array_of_blocks(joined_turns(spark, sf_dir), k, 2, giant=giant)
+    return sa.groupBy(F.col("p").alias("bucket")).agg(F.count("*").alias("n"), F.sum((F.col("r") % 1000003 + 1) * F.col("pos") % 1000003).alias("checksum"))
+
+
+@query(sql_concatenated(sql_suffixes(32).strip()))
 def sa_concatenated(spark, sf_dir):
-    t = turns(spark, sf_dir)
-    blocks = materialize(suffixes.concatenated(t, "seq_id"), "blocks")
-    sa = suffixes.suffix_array(suffixes.suffixes_of_blocks(blocks, 32), "range")
-    return sa.groupBy(F.substring("p", 1, 2).alias("bucket")).agg(F.count("*").alias("n"), F.sum((F.col("r") % 1000003 + 1) * F.col("pos") % 1000003).alias("checksum"))
+    return _concatenated(spark, sf_dir, 32, suffixes.GIANT)
+
+
+@query(sql_concatenated(sql_suffixes(256).strip()))
+def sa_concatenated_k256(spark, sf_dir):
+    """By range partitions of packed characters, whatever the size."""
+    return _concatenated(spark, sf_dir, 256, 0)
+
+
+@query(sql_concatenated(sql_suffixes(1024).strip()))
+def sa_concatenated_whole(spark, sf_dir):
+    """Order by whole suffixes: prefix doubling over the ties alone. In the SQL 1024 characters tell the turns' suffixes apart."""
+    return _concatenated(spark, sf_dir, None, 0)
 
 
 @query(
@@ -223,6 +244,18 @@ def lms_positions(spark, sf_dir):
     return suffixes.lms_positions(turns(spark, sf_dir)).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(F.col("pos") * F.col("pos")).alias("checksum"))
 
 
+@query(
+    f"""WITH {SQL_ONE}, {sql_suffixes(1).strip()},
+    runs AS (SELECT pos, p AS c, bwt AS before, lead(p) OVER (ORDER BY pos) AS after FROM suffixes WHERE p <> '' AND (bwt IS NULL OR bwt <> p)),
+    lms AS (SELECT pos, c FROM runs WHERE before > c AND after > c UNION ALL SELECT length(text), NULL FROM texts)
+    SELECT c, count(*) AS n, CAST(sum(pos % 1000003 * (pos % 1000003) % 1000003) AS BIGINT) AS checksum FROM lms GROUP BY c"""
+)
+def lms_concatenated(spark, sf_dir):
+    """Of all turns as one text, by a scan of its blocks."""
+    p = F.col("pos") % 1000003
+    return suffixes.lms_of_blocks(joined_turns(spark, sf_dir)).groupBy("c").agg(F.count("*").alias("n"), F.sum(p * p % 1000003).alias("checksum"))
+
+
 @query(f"WITH {SQL_TURNS}, {SQL_RUNS} SELECT seq_id, c, CASE WHEN after > c THEN 'S' ELSE 'L' END AS type, CAST(sum(coalesce(next, len) - pos) AS BIGINT) AS n FROM runs GROUP BY ALL")
 def lms_type_histogram(spark, sf_dir):
     return suffixes.suffix_types(turns(spark, sf_dir))
@@ -233,7 +266,7 @@ def lms_type_histogram(spark, sf_dir):
 
 @query(with_sa(SQL_DOCS, "SELECT seq_id, md5(string_agg(coalesce(bwt, '$'), '' ORDER BY r)) AS digest FROM sa GROUP BY seq_id"))
 def bwt(spark, sf_dir):
-    return index.bwt_text(array_of(documents(spark, sf_dir), 32, 0)).select("seq_id", F.md5("bwt").alias("digest"))
+    return suffixes.transforms(documents(spark, sf_dir), 32).select("seq_id", F.md5("bwt").alias("digest"))
 
 
 @query(with_sa(SQL_DOCS, "SELECT seq_id, r AS primary_row FROM sa WHERE pos = 0"))
@@ -347,8 +380,7 @@ def sql_backward(stop: int) -> str:
 
 
 def _backward(spark, sf_dir, stop: int) -> DataFrame:
-    sa = materialize(array_of(turns(spark, sf_dir), 32, 0).select("seq_id", "r", "bwt"), "sa")
-    return search.backward_search(patterns(spark, SHORT), index.c_table(sa), materialize(index.transform_blocks(sa), "transform"), stop)
+    return in_place.every_text(patterns(spark, SHORT), suffixes.transforms(turns(spark, sf_dir)), stop)
 
 
 @query(sql_backward(0))
@@ -421,8 +453,8 @@ def empty_pattern(spark, sf_dir):
     )
 )
 def range_resume(spark, sf_dir):
-    """GA searched for in front of what CA's ranges hold."""
-    sa = materialize(array_of(turns(spark, sf_dir), 32, 0).select("seq_id", "r", "bwt"), "sa")
+    """GA searched for in front of what CA's ranges hold, by blocks of the transform."""
+    sa = materialize(array_of(turns(spark, sf_dir), None, 0).select("seq_id", "r", "bwt"), "sa")
     counts, blocks = index.c_table(sa), materialize(index.transform_blocks(sa), "transform")
     first = search.backward_search(patterns(spark, ["CA"]), counts, blocks)
     return search.backward_search(patterns(spark, ["GA"]), counts, blocks, 0, first)
@@ -432,20 +464,65 @@ def range_resume(spark, sf_dir):
 def backward_search_loaded(spark, sf_dir):
     """The search on a saved and reloaded index: its character counts and transform alone."""
     path = new_path(spark, "index")
-    files.save_index(index.build_tables(materialize(array_of(turns(spark, sf_dir)), "sa")), path)
-    tables = files.load_index(spark, path, ("c_table", "transform"))
+    files.save_index(index.build_tables(materialize(array_of(turns(spark, sf_dir), None, 32), "sa")), path, order=None)
+    tables = files.load_index(spark, path, ("c_table", "transform"), order=None)
     return search.backward_search(patterns(spark, SHORT), tables["c_table"], tables["transform"])
 
 
-@query(with_sa(SQL_TURNS, "SELECT pattern_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM hits GROUP BY pattern_id", 32, sql_patterns(SHORT), SQL_HITS))
+SQL_LOCATED = "SELECT pattern_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM hits GROUP BY pattern_id"
+
+
+@query(with_sa(SQL_TURNS, SQL_LOCATED, 32, sql_patterns(SHORT), SQL_HITS))
 def locate_sampled(spark, sf_dir):
-    """Positions from every fourth one alone, by steps through the transform."""
-    sa = materialize(array_of(turns(spark, sf_dir), 32, 0).select("seq_id", "r", "pos", "bwt"), "sa")
+    """Positions from every fourth one alone, by steps through the blocks of the transform."""
+    sa = materialize(array_of(turns(spark, sf_dir), None, 0).select("seq_id", "r", "pos", "bwt"), "sa")
     counts, blocks = index.c_table(sa), materialize(index.transform_blocks(sa), "transform")
     ranges = materialize(search.backward_search(patterns(spark, SHORT), counts, blocks), "ranges")
     return search.located(ranges, counts, blocks, index.sampled(sa, 4)).groupBy("pattern_id").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"))
 
 
+# Each turn behind itself and 40 times its first letter: every text repeats all of its characters, and runs beyond 32.
+REPEATED = ["CA", "TACA", "A" * 20, "A" * 36, "A" * 44, "GCAA", "CAAACA"]
+SQL_REPEATED = f"texts AS (SELECT seq_id, text || repeat(coalesce(nullif(left(text, 1), ''), 'A'), 40) || text AS text FROM (SELECT conv_id * 100000 + turn AS seq_id, {DNA} AS text FROM conversations))"
+SQL_EVERYWHERE = "hits AS (SELECT q.pattern_id, t.seq_id, v.i - 1 AS pos FROM patterns q JOIN texts t ON contains(t.text, q.pattern), unnest(range(1, length(t.text) - length(q.pattern) + 2)) AS v(i) WHERE substr(t.text, v.i, length(q.pattern)) = q.pattern)"
+
+
+def repeated(spark, sf_dir) -> DataFrame:
+    letter = F.when(F.length("text") > 0, F.substring("text", 1, 1)).otherwise("A")
+    return turns(spark, sf_dir).select("seq_id", F.concat("text", F.repeat(letter, F.lit(40)), "text").alias("text"))
+
+
+@query(f"WITH {SQL_REPEATED}, {sql_patterns(REPEATED)}, {SQL_EVERYWHERE} SELECT i.interval, pattern_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM hits, (VALUES (4), (16)) i(interval) GROUP BY i.interval, pattern_id")
+def locate_sampled_repeats(spark, sf_dir):
+    """Positions in repetitive texts from every fourth and every sixteenth one, steps taken in the task that holds the text."""
+    out = None
+    for interval in (4, 16):
+        t = materialize(suffixes.transforms(repeated(spark, sf_dir), None, interval), "transforms")
+        lookup = index.kmer_lookup(array_of(repeated(spark, sf_dir), None, 4), 4)
+        found = in_place.located(in_place.matching_texts(patterns(spark, REPEATED), lookup, t), t)
+        rows = found.groupBy("pattern_id").agg(F.count("*").alias("n"), F.sum("pos").alias("positions")).select(F.lit(interval).alias("interval"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# Whole texts as patterns, and with one more letter: 33 characters and more, of repetitive texts.
+SQL_CUT = "patterns AS (SELECT seq_id * 2 + h.k AS pattern_id, CASE WHEN h.k = 0 THEN substr(text, 11, 33 + seq_id % 68) ELSE substr(text, 11, 40) || 'CCGT' END AS pattern FROM texts, (VALUES (0), (1)) h(k) WHERE seq_id % 100000 = 0 AND length(text) >= 120)"
+
+
+@query(f"WITH {SQL_REPEATED}, {SQL_CUT}, {SQL_EVERYWHERE} SELECT pattern_id, seq_id, count(*) AS n FROM hits GROUP BY pattern_id, seq_id")
+def backward_search_long(spark, sf_dir):
+    """Patterns of 33 to 100 characters cut from each conversation's first turn, as they are and with an end that misses,
+    searched in all repetitive texts from the lookup on."""
+    texts = repeated(spark, sf_dir)
+    first = texts.where("seq_id % 100000 = 0 and length(text) >= 120")
+    taken = F.when(F.col("k") == 0, F.substring(F.col("text"), F.lit(11), (33 + F.col("seq_id") % 68).cast("int"))).otherwise(F.concat(F.substring("text", 11, 40), F.lit("CCGT")))
+    asked = first.select("seq_id", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select((F.col("seq_id") * 2 + F.col("k")).alias("pattern_id"), taken.alias("pattern"))
+    t = materialize(suffixes.transforms(texts), "transforms")
+    lookup = index.kmer_lookup(array_of(texts, None, 12), 12)
+    found = in_place.matching_texts(asked, lookup, t, 12)
+    return found.select("pattern_id", "seq_id", (F.col("end") - F.col("beg")).alias("n"))
+
+
 @query(with_sa(SQL_TURNS, "SELECT pattern_id, pattern, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM hits GROUP BY pattern_id, pattern", 32, sql_patterns(SHORT), SQL_HITS))
 def pattern_stream(spark, sf_dir):
     """A stream of patterns against the stored array, run until no new files are there."""

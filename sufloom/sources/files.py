@@ -5,9 +5,14 @@ Record readers split files at record marks with Spark's line separator, so a lar
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sufloom.sources.scratch import partitions_of
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """name (up to the first space or tab) and seq (all lines joined) of each record."""
@@ -102,20 +107,63 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 INDEX_TABLES = ("sa", "c_table", "sampled", "bitmap", "lookup", "transform", "primary")
+MANIFEST = "manifest"
+KNOBS = {"k": 32, "interval": 4, "width": 64, "length": 4}
+
 
+def table_digest(df: DataFrame) -> tuple[int, int]:
+    """Rows, and a checksum of all columns that doesn't depend on their order."""
+    row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("x")).first()
+    return row["n"], row["x"] or 0
 
-def save_index(tables: dict[str, DataFrame], path: str) -> None:
-    """One Parquet folder a table; the array sorted by range partitions of its prefixes, so that a search for one prefix
-    reads the files and row groups that can hold it alone."""
+
+def save_index(tables: dict[str, DataFrame], path: str, **knobs) -> str:
+    """One Parquet folder a table in a new version folder, the array sorted by range partitions of its prefixes, so that a
+    search for one prefix reads the files and row groups that can hold it alone. A line of the manifest with the knobs
+    (order: the number of characters that the array is ordered by, None all; k, interval, width, length) and each table's
+    digest, written last, makes the version the index: a build that fails before leaves the one there was. Returns the
+    version."""
+    spark = next(iter(tables.values())).sparkSession
+    version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    lines = []
     for name, df in tables.items():
         if name == "sa":
-            parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            parts = partitions_of(df) if hasattr(df, "scratch_path") else max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
             df = df.repartitionByRange(parts, "p", "seq_id", "r").sortWithinPartitions("p", "seq_id", "r")
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/{version}/{name}")
+        lines.append((name, *table_digest(spark.read.parquet(f"{path}/{version}/{name}"))))
+    order = knobs.pop("order", 32)
+    rows = [(version, time.time_ns(), -1 if order is None else order, *(knobs.get(c, d) for c, d in KNOBS.items()), name, n, x) for name, n, x in lines]
+    schema = f"version string, written long, depth int, {', '.join(f'{c} int' for c in KNOBS)}, name string, n long, digest long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/{MANIFEST}")
+    return version
+
+
+def index_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest's rows of the newest version, one a table."""
+    lines = spark.read.parquet(f"{path}/{MANIFEST}")
+    newest = lines.agg(F.max(F.struct("written", "version")).alias("x")).first()["x"]
+    return lines.where(F.col("version") == newest["version"])
+
+
+def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = INDEX_TABLES, order: int | None = 0, check: bool = False) -> dict[str, DataFrame]:
+    """Tables of the newest version. order: the depth that the caller needs (None: whole suffixes, as steps through the
+    transform do; 0: any); an array of less is an error. check compares the tables with the manifest's digests."""
+    lines = {r["name"]: r for r in index_manifest(spark, path).collect()}  # one row a table
+    version, depth = next((r["version"], r["depth"]) for r in lines.values())
+    if order != 0 and depth != -1 and (order is None or depth < order):
+        raise ValueError(f"the index at {path} is ordered by {depth} characters, which is too few for this search")
+    tables = {n: spark.read.parquet(f"{path}/{version}/{n}") for n in names}
+    for name, df in tables.items():
+        if check and table_digest(df) != (lines[name]["n"], lines[name]["digest"]):
+            raise ValueError(f"table {name} of the index at {path} isn't what its manifest says")
+    return tables
 
 
-def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = INDEX_TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+def same_index(spark: SparkSession, a: str, b: str) -> bool:
+    """Equality of two saved indexes by knobs and digests."""
+    own = ["depth", *KNOBS, "name", "n", "digest"]
+    return sorted(map(tuple, index_manifest(spark, a).select(*own).collect())) == sorted(map(tuple, index_manifest(spark, b).select(*own).collect()))
 
 
 def join_fields(array: Column) -> Column:
