@@ -36,6 +36,7 @@ MIN_TOKEN = 20
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 CODES = 128
 SLICE = 256  # matches
+PIECE = 1024  # characters
 
 
 def let(value: Column, use) -> Column:
@@ -110,8 +111,11 @@ def spans(text: Column, ratios: list[float], least_ratio: float = 12.0, least_me
     table = F.from_json(F.lit(json.dumps([round(x, 4) for x in ratios])), "array<double>")
 
     def ratio(token):
-        step = lambda i: F.element_at(table, F.ascii(F.substring(token, i, F.lit(1))) * CODES + F.ascii(F.substring(token, i + 1, F.lit(1))) + 1)
-        return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda s, i: s + step(i))
+        # The token is split once and folded over, so that time grows with its length.
+        codes = F.transform(F.regexp_extract_all(token, F.lit("."), F.lit(0)), F.ascii)
+        start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))
+        step = lambda acc, c: F.struct(c.alias("before"), F.when(acc["before"] < 0, 0.0).otherwise(acc["sum"] + F.element_at(table, acc["before"] * CODES + c + 1)).alias("sum"))
+        return F.aggregate(codes, start, step, lambda acc: acc["sum"])
 
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     tokens = F.when(text.rlike(TOKEN), F.filter(found(text, TOKEN, 0, MIN_TOKEN, 3), lambda x: mixed(x["value"]))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
@@ -135,22 +139,40 @@ def digest_text(column: str) -> Column:
 
 
 def masked(text: Column, found_: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced by mask."""
+    """The text with every span, or run of overlapping spans, replaced by mask. The text is cut into pieces once, and what
+    lies between the spans is taken from those, so that no span walks from the text's start."""
+    none = F.array().cast("array<struct<low:int,high:int>>")
 
     def add(acc, s):
-        piece = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
+        gap = F.array(F.struct(acc["at"].alias("low"), s["start"].alias("high")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(found_, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def slices_of(rows):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / SLICE).cast("int")), lambda i: F.slice(rows, i * SLICE + 1, SLICE))
+
+    def gaps_of(slices):
+        # Where the spans before each slice end, the last of them for the rest of the text.
+        ends = F.aggregate(slices, F.array(F.lit(0)), lambda acc, part: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.array_max(F.transform(part, lambda s: s["end"]))))))
+        inner = lambda at: F.flatten(F.transform(slices, lambda part, i: F.aggregate(part, F.struct(F.element_at(at, i + 1).alias("at"), none.alias("out")), add, lambda acc: acc["out"])))
+        return let(ends, lambda at: F.concat(inner(at), F.array(F.struct(F.element_at(at, -1).alias("low"), F.length(text).alias("high")))))
+
+    def cut(pieces, gap):
+        low, high = gap["low"], gap["high"]
+        first, last = F.floor(low / PIECE).cast("int"), F.floor((high - 1) / PIECE).cast("int")
+        one = lambda p: F.substring(F.element_at(pieces, p + 1), F.greatest(low - p * PIECE, F.lit(0)) + 1, F.least(high - p * PIECE, F.lit(PIECE)) - F.greatest(low - p * PIECE, F.lit(0)))
+        return F.when(low < high, F.array_join(F.transform(F.sequence(first, last), one), "")).otherwise("")
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    done = let(pieces, lambda p: let(let(slices_of(found_), gaps_of), lambda gaps: F.array_join(F.transform(gaps, lambda g: cut(p, g)), mask)))
     return F.when(F.size(found_) > 0, done).otherwise(text)
 
 
 def mask_secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """docs with secrets masked in text, and n_chars counted anew where it is a column; a null text stays null."""
+    text = F.col("scanned").getField("text")
+    rows = scan(docs, samples).select("scanned", F.size("found").alias("hits"), F.when(text.isNotNull(), masked(text, F.col("found"))).alias("masked"))
     own = {c: F.col("scanned").getField(c) for c in docs.columns}
-    text = own["text"]
-    own["text"] = F.when(text.isNotNull(), masked(text, F.col("found")))
+    own["text"] = F.col("masked")
     if "n_chars" in own:
-        own["n_chars"] = F.when(F.size("found") > 0, F.length(own["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
-    return scan(docs, samples).select(*(v.alias(c) for c, v in own.items()))
+        own["n_chars"] = F.when(F.col("hits") > 0, F.length(F.col("masked")).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return rows.select(*(v.alias(c) for c, v in own.items()))

@@ -87,13 +87,14 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def grams(text: Column, kind: str, widths: tuple[int, ...], dim: int) -> Column:
-    marked = F.concat(F.lit("^"), text, F.lit("$"))
+    """Buckets of the n-grams; the text is split into characters once, so that time grows with its length."""
+    marked = F.regexp_extract_all(F.concat(F.lit("^"), text, F.lit("$")), F.lit("(?s)."), F.lit(0))
 
-    def hashed(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))
-        return F.transform(at, lambda i: F.conv(F.substring(F.md5(F.concat(F.lit(kind), F.substring(marked, i, F.lit(n)))), 1, 4), 16, 10).cast("int") % dim)
+    def hashed(chars: Column, n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
+        return F.transform(at, lambda i: F.conv(F.substring(F.md5(F.concat(F.lit(kind), F.array_join(F.slice(chars, i, n), ""))), 1, 4), 16, 10).cast("int") % dim)
 
-    return F.concat(*map(hashed, widths))
+    return F.element_at(F.transform(F.array(marked), lambda chars: F.concat(*(hashed(chars, n) for n in widths))), 1)
 
 
 def features(host: Column, path: Column, widths: tuple[int, ...] = (3, 4), dim: int = DIM) -> Column:
