@@ -1,7 +1,8 @@
 """Exact pattern search on suffix arrays.
 
 patterns are rows (pattern_id, pattern). A suffix matches if it begins with the pattern: an equi-join on as many first
-characters as a pattern has, for each length that occurs, so a suffix is never compared with every pattern.
+characters as a pattern has, for each length that occurs, so a suffix is never compared with every pattern; batches too
+large to be broadcast are merged with the sorted array (merge.short_matches).
 Patterns with other characters than A, C, G, T match nothing here. A pattern longer than the indexed prefix goes on by
 equi-joins with the array: its next characters must stand at the match's position + `indexed`, + 2 * `indexed`, ...;
 for that, p must hold `indexed` characters of each suffix, or all that it has. An empty pattern matches every suffix, the
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sufloom.operators import merge
 from sufloom.operators.index import LETTERS
 from sufloom.sources.scratch import discard, materialize
 
@@ -59,10 +61,7 @@ def _short(patterns: DataFrame, sa: DataFrame, indexed: int, by: str = "pattern"
         for l in lengths:
             some = some | F.col(f"asked_{l}").isNotNull()
         return rows.where(some).select("seq_id", "r", "pos", F.explode(met).alias("x")).select("x.pattern_id", "x.pattern", "seq_id", "r", "pos")
-    # The array is read once: each suffix offers a key for each length, and keys of one length equal patterns of that length only.
-    keyed = rows.where(F.length("p") >= lengths[0]).select("*", F.explode(F.array(*map(F.lit, lengths))).alias("l")).where(F.length("p") >= F.col("l"))
-    keyed = keyed.select("seq_id", "r", "pos", F.substring(F.col("p"), F.lit(1), F.col("l")).alias("key"))
-    return keyed.join(own, "key").select("pattern_id", "pattern", "seq_id", "r", "pos")
+    return merge.short_matches(own, sa.select("seq_id", "r", "pos", "p"), "key", 0)
 
 
 def count(patterns: DataFrame, sa: DataFrame, indexed: int = 32) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sufloom.functions import codec
-from sufloom.operators import in_place, index, packed, search, suffixes
+from sufloom.operators import in_place, index, merge, search, suffixes
 from sufloom.sources import files
 from sufloom.sources.scratch import materialize, new_path
 from sufloom.streaming import patterns as streams
@@ -523,6 +523,26 @@ def backward_search_long(spark, sf_dir):
     return found.select("pattern_id", "seq_id", (F.col("end") - F.col("beg")).alias("n"))
 
 
+# Of each turn four parts of 8 to 100 characters, those with three letters other than A.
+SQL_MANY = """patterns AS (SELECT seq_id * 4 + u.k AS pattern_id, substr(text, CAST(1 + (seq_id * 37 + u.k * 211) % greatest(length(text) - 8, 1) AS INTEGER), CAST(8 + (seq_id * 7 + u.k * 31) % 93 AS INTEGER)) AS pattern
+    FROM texts, unnest(range(0, 4)) AS u(k) WHERE length(text) >= 16),
+asked AS (SELECT * FROM patterns WHERE length(replace(pattern, 'A', '')) >= 3),
+lengths AS (SELECT DISTINCT length(pattern) AS l FROM asked),
+parts AS (SELECT l, v.i AS pos, substr(text, v.i + 1, l) AS part FROM texts JOIN lengths ON l <= length(text), unnest(range(0, length(text) - l + 1)) AS v(i))"""
+
+
+@query(f"WITH {SQL_TURNS}, {SQL_MANY} SELECT pattern_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM asked JOIN parts ON l = length(pattern) AND part = pattern GROUP BY pattern_id")
+def locate_many_patterns(spark, sf_dir):
+    """Thousands of patterns cut from the turns themselves, of many lengths, merged with the array."""
+    t = turns(spark, sf_dir)
+    each = t.where("length(text) >= 16").select("seq_id", "text", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    at = 1 + (F.col("seq_id") * 37 + F.col("k") * 211) % F.greatest(F.length("text") - 8, F.lit(1))
+    size = 8 + (F.col("seq_id") * 7 + F.col("k") * 31) % 93
+    asked = each.select((F.col("seq_id") * 4 + F.col("k")).alias("pattern_id"), F.substring(F.col("text"), at.cast("int"), size.cast("int")).alias("pattern")).where("length(replace(pattern, 'A', '')) >= 3")
+    hits = merge.batch_matches(asked, array_of(t), t)
+    return hits.groupBy("pattern_id").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"))
+
+
 @query(with_sa(SQL_TURNS, "SELECT pattern_id, pattern, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM hits GROUP BY pattern_id, pattern", 32, sql_patterns(SHORT), SQL_HITS))
 def pattern_stream(spark, sf_dir):
     """A stream of patterns against the stored array, run until no new files are there."""
@@ -556,6 +576,20 @@ def fastq_roundtrip(spark, sf_dir):
     return files.read_fastq(spark, path)
 
 
+@query(f"WITH {SQL_TURNS} SELECT 'seq' || seq_id AS name, text AS seq, translate(text, 'ACGT', '@+>I') AS qual FROM texts WHERE text <> ''")
+def fastq_multiline_roundtrip(spark, sf_dir):
+    """Records over lines of 60 characters, whose quality lines begin with @ and + as it comes; each file is read in splits."""
+    path, wrapped = new_path(spark, "fastq"), lambda c: F.array_join(F.regexp_extract_all(c, F.lit(".{1,60}"), F.lit(0)), "\n")
+    rows = turns(spark, sf_dir).where("text <> ''").coalesce(1)
+    files.write_fastq(rows.select(_named(F.col("seq_id")).alias("name"), wrapped("text").alias("seq"), wrapped(F.translate("text", "ACGT", "@+>I")).alias("qual")), path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        return materialize(files.read_fastq(spark, path), "records")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 @query(with_sa(SQL_TURNS, SQL_KMERS))
 def index_save_load(spark, sf_dir):
     path = new_path(spark, "index")

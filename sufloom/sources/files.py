@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sufloom.sources.fastq import read_fastq  # noqa: F401
 from sufloom.sources.scratch import partitions_of
 
 
@@ -22,34 +23,6 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.length("value") > 0).select(F.regexp_extract(head, r"^([^ \t\r]*)", 1).alias("name"), F.regexp_replace(body, "[\r\n]", "").alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq, qual of each record of FASTQ text. Records may span lines: the quality has as many characters as the
-    sequence, which tells a quality line that begins with @ from the next record. Files are read whole, one a task."""
-    texts = spark.read.text(path, wholetext=True)
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for text in batch["value"]:
-                lines, i = text.splitlines(), 0
-                while i < len(lines):
-                    if not lines[i].startswith("@"):
-                        i += 1
-                        continue
-                    name, seq, qual, i = lines[i][1:].replace("\t", " ").split(" ")[0], "", "", i + 1
-                    while i < len(lines) and not lines[i].startswith("+"):
-                        seq, i = seq + lines[i], i + 1
-                    i += 1
-                    while i < len(lines) and len(qual) < len(seq):
-                        qual, i = qual + lines[i], i + 1
-                    out.append((name, seq, qual))
-            yield pd.DataFrame(out, columns=["name", "seq", "qual"])
-
-    return texts.mapInPandas(run, "name string, seq string, qual string")
-
-
 def write_fasta(records: DataFrame, path: str, **options) -> None:
     records.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.options(**options).text(path)
 

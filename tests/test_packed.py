@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sufloom import __main__ as commands
-from sufloom.operators import in_place, index, packed, search, suffixes
+from sufloom.operators import in_place, index, merge, packed, search, suffixes
 from sufloom.sources import files
 
 rng = random.Random(3)
@@ -122,3 +122,16 @@ def test_positions_on_the_index_that_the_command_saves(spark, tmp_path):
     ranges = search.backward_search(p, tables["c_table"], tables["transform"])
     got = search.located(ranges, tables["c_table"], tables["transform"], tables["sampled"]).groupBy("pattern_id").agg(F.sort_array(F.collect_list("pos")).alias("x")).collect()
     assert {words[r["pattern_id"]]: r["x"] for r in got} == {w: places(w, text) for w in words if places(w, text)}
+
+
+@pytest.mark.parametrize("small", [None, 0])
+def test_a_batch_merged_with_the_array(spark, small):
+    texts = frame(spark, {**TEXTS, 9: ""})
+    words = ["A", "AC", "ACG", "ACGA", "", UNIT[5:60], UNIT[:290], UNIT[:40] + "CCGT", "A" * 33, "A" * 31 + "C", "TTTT", "Z", "A" * 901, UNIT[7:15], UNIT[7:15]]
+    p = spark.createDataFrame([*enumerate(words), (77, None)], "pattern_id int, pattern string")
+    got = {}
+    for r in merge.batch_matches(p, suffixes.arrays(texts, 32), texts, 32, small).collect():
+        assert r["pattern"] == words[r["pattern_id"]]
+        got.setdefault((r["pattern_id"], r["seq_id"]), []).append(r["pos"])
+    want = {(i, s): places(w, x) if w else list(range(len(x) + 1)) for i, w in enumerate(words) for s, x in [*TEXTS.items(), (9, "")]}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
