@@ -81,9 +81,25 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 INDEX_TABLES = ("sa", "c_table", "sampled", "bitmap", "lookup", "transform", "primary")
 MANIFEST = "manifest"
+BUCKETED = {"transform": ("seq_id", "b")}  # joined at each step of a search
 KNOBS = {"k": 32, "interval": 4, "width": 64, "length": 4}
 
 
+def write_bucketed(df: DataFrame, path: str, columns: tuple[str, ...], buckets: int) -> None:
+    """Parquet at path, one file a bucket of the columns' hash."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).sortBy(*columns).option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # its files stay
+
+
+def read_bucketed(spark: SparkSession, path: str, columns: tuple[str, ...], buckets: int) -> DataFrame:
+    """What write_bucketed wrote, so known to Spark that a join on the columns doesn't shuffle it."""
+    name, own = f"bucketed_{uuid.uuid4().hex}", ", ".join(columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({own}) SORTED BY ({own}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def table_digest(df: DataFrame) -> tuple[int, int]:
     """Rows, and a checksum of all columns that doesn't depend on their order."""
     row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("x")).first()
@@ -92,22 +108,27 @@ def table_digest(df: DataFrame) -> tuple[int, int]:
 
 def save_index(tables: dict[str, DataFrame], path: str, **knobs) -> str:
     """One Parquet folder a table in a new version folder, the array sorted by range partitions of its prefixes, so that a
-    search for one prefix reads the files and row groups that can hold it alone. A line of the manifest with the knobs
+    search for one prefix reads the files and row groups that can hold it alone, and the transform in buckets of its blocks,
+    so that steps of a search shuffle no part of it. A line of the manifest with the knobs
     (order: the number of characters that the array is ordered by, None all; k, interval, width, length) and each table's
     digest, written last, makes the version the index: a build that fails before leaves the one there was. Returns the
     version."""
     spark = next(iter(tables.values())).sparkSession
     version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lines = []
     for name, df in tables.items():
         if name == "sa":
             parts = partitions_of(df) if hasattr(df, "scratch_path") else max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
             df = df.repartitionByRange(parts, "p", "seq_id", "r").sortWithinPartitions("p", "seq_id", "r")
-        df.write.parquet(f"{path}/{version}/{name}")
+        if name in BUCKETED:
+            write_bucketed(df, f"{path}/{version}/{name}", BUCKETED[name], buckets)
+        else:
+            df.write.parquet(f"{path}/{version}/{name}")
         lines.append((name, *table_digest(spark.read.parquet(f"{path}/{version}/{name}"))))
     order = knobs.pop("order", 32)
-    rows = [(version, time.time_ns(), -1 if order is None else order, *(knobs.get(c, d) for c, d in KNOBS.items()), name, n, x) for name, n, x in lines]
-    schema = f"version string, written long, depth int, {', '.join(f'{c} int' for c in KNOBS)}, name string, n long, digest long"
+    rows = [(version, time.time_ns(), -1 if order is None else order, *(knobs.get(c, d) for c, d in KNOBS.items()), buckets if name in BUCKETED else None, name, n, x) for name, n, x in lines]
+    schema = f"version string, written long, depth int, {', '.join(f'{c} int' for c in KNOBS)}, buckets int, name string, n long, digest long"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/{MANIFEST}")
     return version
 
@@ -126,7 +147,8 @@ def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = INDEX_TA
     version, depth = next((r["version"], r["depth"]) for r in lines.values())
     if order != 0 and depth != -1 and (order is None or depth < order):
         raise ValueError(f"the index at {path} is ordered by {depth} characters, which is too few for this search")
-    tables = {n: spark.read.parquet(f"{path}/{version}/{n}") for n in names}
+    folder = f"{path}/{version}"
+    tables = {n: read_bucketed(spark, f"{folder}/{n}", BUCKETED[n], lines[n]["buckets"]) if n in BUCKETED and lines[n]["buckets"] else spark.read.parquet(f"{folder}/{n}") for n in names}
     for name, df in tables.items():
         if check and table_digest(df) != (lines[name]["n"], lines[name]["digest"]):
             raise ValueError(f"table {name} of the index at {path} isn't what its manifest says")

@@ -135,3 +135,24 @@ def test_a_batch_merged_with_the_array(spark, small):
         got.setdefault((r["pattern_id"], r["seq_id"]), []).append(r["pos"])
     want = {(i, s): places(w, x) if w else list(range(len(x) + 1)) for i, w in enumerate(words) for s, x in [*TEXTS.items(), (9, "")]}
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_a_step_shuffles_no_part_of_the_saved_transform(spark, tmp_path):
+    path = str(tmp_path / "index")
+    sa = suffixes.arrays(frame(spark, FEW), None, 32).cache()
+    files.save_index(index.build_tables(sa), path, order=None)
+    tables = files.load_index(spark, path, ("c_table", "transform"), order=None)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        p = spark.createDataFrame([(0, "C")], "pattern_id int, pattern string")
+        whole = spark.createDataFrame([(0, s, 0, len(t) + 1) for s, t in FEW.items()], "pattern_id int, seq_id long, beg long, end long")
+        found = search.backward_search(p, tables["c_table"], tables["transform"], 0, whole)
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert {r["seq_id"]: r["end"] - r["beg"] for r in found.collect()} == {s: t.count("C") for s, t in FEW.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scans = [i for i, x in enumerate(lines) if "Bucketed: true" in x]
+    assert len(scans) == 2  # for the first and for the last row
+    for i in scans:  # a sort, a projection and a filter stand between the join and the scan, and no exchange
+        assert "Sort [" in lines[i - 3] and not any("Exchange" in x for x in lines[i - 3 : i])
