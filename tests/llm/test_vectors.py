@@ -86,6 +86,21 @@ def test_top_k_equals_brute_force(spark, vectors):
         assert [got[q][k + 1] for k in range(7)] == [(i, -s) for s, i in best]
 
 
+def test_bounds_of_single_queries_leave_few_annuli_of_clustered_vectors(spark):
+    draw = np.random.default_rng(8)
+    centres = draw.standard_normal((12, 16))
+    centres *= 6 / np.sqrt((centres**2).sum(axis=1, keepdims=True))
+    rows = [(i, (centres[i % 12] + draw.standard_normal(16) * 0.1).tolist()) for i in range(3000)]
+    stats = {}
+    got = top_k(frame(spark, rows), F.col("vec_id") % 100 == 0, k=5, scale=64, block_rows=50, query_rows=8, stats=stats).collect()
+    x = np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
+    for q in range(0, 3000, 100):
+        scores = x @ x[q]
+        best = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert stats["searched"] < 0.35 * stats["pairs"], stats
+
+
 def test_fewer_candidates_than_k(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])]
     got = [tuple(r) for r in top_k(frame(spark, rows), F.col("vec_id") == 0, k=10, scale=4).orderBy("rank").collect()]
