@@ -107,14 +107,14 @@ def normalize_dna(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SQL_TURNS}, cut AS (SELECT seq_id, substr(text, 1, 20) AS s FROM texts),
-    keyed AS (SELECT seq_id, s, CAST(coalesce(list_sum(list_transform(range(1, length(s) + 1), lambda i: (instr('ACGT', substr(s, i, 1)) - 1) * CAST(pow(4, length(s) - i) AS BIGINT))), 0) AS BIGINT) AS key FROM cut)
-    SELECT seq_id, key, s AS back FROM keyed"""
+    f"""WITH {SQL_TURNS}, cut AS (SELECT seq_id, u.w AS w, substr(text, u.w * 31 + 1, 31) AS s FROM texts, unnest(range(0, greatest(length(text) - 1, 0) // 31 + 1)) AS u(w)),
+    keyed AS (SELECT seq_id, w, s, CAST(coalesce(list_sum(list_transform(range(1, length(s) + 1), lambda i: (instr('ACGT', substr(s, i, 1)) - 1) * CAST(pow(4, length(s) - i) AS BIGINT))), 0) AS BIGINT) AS key FROM cut)
+    SELECT seq_id, w, key, s AS back FROM keyed"""
 )
 def codec_hash_roundtrip(spark, sf_dir):
-    cut = turns(spark, sf_dir).select("seq_id", F.substring("text", 1, 20).alias("s"))
-    keyed = cut.select("seq_id", "s", codec.sequence_key(F.col("s")).alias("key"))
-    return keyed.select("seq_id", "key", codec.sequence_of(F.col("key"), F.length("s")).alias("back"))
+    """Every window of whole texts: its key, and the window again from that."""
+    keyed = codec.windows(turns(spark, sf_dir)).select("seq_id", "w", F.length("s").alias("size"), codec.sequence_key(F.col("s")).alias("key"))
+    return keyed.select("seq_id", "w", "key", codec.sequence_of(F.col("key"), F.col("size")).alias("back"))
 
 
 @query(
