@@ -523,12 +523,13 @@ def backward_search_long(spark, sf_dir):
     return found.select("pattern_id", "seq_id", (F.col("end") - F.col("beg")).alias("n"))
 
 
-# Of each turn four parts of 8 to 100 characters, those with three letters other than A.
-SQL_MANY = """patterns AS (SELECT seq_id * 4 + u.k AS pattern_id, substr(text, CAST(1 + (seq_id * 37 + u.k * 211) % greatest(length(text) - 8, 1) AS INTEGER), CAST(8 + (seq_id * 7 + u.k * 31) % 93 AS INTEGER)) AS pattern
+# Of each turn four parts of 8 to 98 characters, those with three letters other than A.
+SQL_MANY = f"""{sql_suffixes(98).strip()},
+patterns AS (SELECT seq_id * 4 + u.k AS pattern_id, substr(text, CAST(1 + (seq_id * 37 + u.k * 211) % greatest(length(text) - 8, 1) AS INTEGER), CAST(8 + 15 * ((seq_id * 7 + u.k * 31) % 7) AS INTEGER)) AS pattern
     FROM texts, unnest(range(0, 4)) AS u(k) WHERE length(text) >= 16),
 asked AS (SELECT * FROM patterns WHERE length(replace(pattern, 'A', '')) >= 3),
 lengths AS (SELECT DISTINCT length(pattern) AS l FROM asked),
-parts AS (SELECT l, v.i AS pos, substr(text, v.i + 1, l) AS part FROM texts JOIN lengths ON l <= length(text), unnest(range(0, length(text) - l + 1)) AS v(i))"""
+parts AS (SELECT l, pos, substr(p, 1, l) AS part FROM suffixes JOIN lengths ON length(p) >= l)"""
 
 
 @query(f"WITH {SQL_TURNS}, {SQL_MANY} SELECT pattern_id, count(*) AS n, CAST(sum(pos) AS BIGINT) AS positions FROM asked JOIN parts ON l = length(pattern) AND part = pattern GROUP BY pattern_id")
@@ -537,7 +538,7 @@ def locate_many_patterns(spark, sf_dir):
     t = turns(spark, sf_dir)
     each = t.where("length(text) >= 16").select("seq_id", "text", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
     at = 1 + (F.col("seq_id") * 37 + F.col("k") * 211) % F.greatest(F.length("text") - 8, F.lit(1))
-    size = 8 + (F.col("seq_id") * 7 + F.col("k") * 31) % 93
+    size = 8 + 15 * ((F.col("seq_id") * 7 + F.col("k") * 31) % 7)
     asked = each.select((F.col("seq_id") * 4 + F.col("k")).alias("pattern_id"), F.substring(F.col("text"), at.cast("int"), size.cast("int")).alias("pattern")).where("length(replace(pattern, 'A', '')) >= 3")
     hits = merge.batch_matches(asked, array_of(t), t)
     return hits.groupBy("pattern_id").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"))
