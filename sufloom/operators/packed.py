@@ -219,7 +219,7 @@ def ordered(blocks: DataFrame, k: int | None = WORD, single: bool = True, counts
     counts.append(size + 1)
 
     def parts(rows: int) -> int:
-        return max(min(least, -(-rows // 10_000)), rows // ROWS_EACH)
+        return max(1, min(least, -(-rows // 10_000)), rows // ROWS_EACH)
 
     table = ranked_within(first_words(pieces, WORD if deep else k), texts, ["key", "has"], parts(size))
     rows = table.select("seq_id", "pos", "key", "has", "before", F.col("within").alias("r"), F.col("first").alias("rk"), "tied")

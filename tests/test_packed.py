@@ -48,6 +48,8 @@ def test_packed_order_of_many_texts_over_partitions_that_cut_groups_of_ties(spar
 def test_one_text_and_what_is_no_nucleotide(spark):
     blocks = packed.blocks_of(frame(spark, {0: TEXTS[3]}))
     assert [r["pos"] for r in packed.ordered(blocks, None).orderBy("r").collect()] == naive(TEXTS[3], None)
+    for k in (32, 256, None):  # no ties at all
+        assert [r["pos"] for r in packed.ordered(packed.blocks_of(frame(spark, {0: TEXTS[2]})), k).orderBy("r").collect()] == naive(TEXTS[2], k)
     with pytest.raises(Exception, match="alone"):
         packed.ordered(packed.blocks_of(frame(spark, {0: "ACGN"})), 32).collect()
 
