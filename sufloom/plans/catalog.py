@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sufloom.functions import codec
 from sufloom.operators import in_place, index, merge, search, suffixes
-from sufloom.sources import files
+from sufloom.sources import datasource, files
 from sufloom.sources.scratch import materialize, new_path
 from sufloom.streaming import patterns as streams
 
@@ -591,6 +591,31 @@ def fastq_multiline_roundtrip(spark, sf_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@query(
+    f"""WITH {SQL_TURNS}, sized AS (SELECT text, CAST(CASE WHEN seq_id % 2 = 0 THEN 24 ELSE 12 END AS INTEGER) AS l FROM texts),
+    pieces AS (SELECT substr(text, CAST(1 + u.k * l AS INTEGER), l) AS pattern FROM sized, unnest(range(0, length(text) // l)) AS u(k))
+    SELECT pattern, count(*) AS n FROM pieces GROUP BY pattern"""
+)
+def pattern_batch_read(spark, sf_dir):
+    """All turns cut into patterns of 12 or 24 characters, written as binary batches and read back by splits of 4 KB."""
+    datasource.register(spark)
+    path, size = new_path(spark, "batches"), F.when(F.col("seq_id") % 2 == 0, 24).otherwise(12)
+    sized = turns(spark, sf_dir).select("text", size.alias("l")).where("length(text) >= l")
+    each = sized.select("text", "l", F.explode(F.sequence(F.lit(0), (F.length("text") / F.col("l")).cast("int") - 1)).alias("k"))
+    each.select(F.substring(F.col("text"), 1 + F.col("k") * F.col("l"), F.col("l")).alias("pattern")).write.format("patterns").mode("append").save(path)
+    return spark.read.format("patterns").schema("pattern string").option("splitBytes", 4096).load(path).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQL_TURNS} SELECT 'seq' || seq_id AS name, text AS seq FROM texts")
+def fasta_split_read(spark, sf_dir):
+    """Records over lines of 60 characters, read by the data source in splits of 64 KB."""
+    datasource.register(spark)
+    path = new_path(spark, "fasta")
+    lines = F.array_join(F.regexp_extract_all("text", F.lit(".{1,60}"), F.lit(0)), "\n")
+    files.write_fasta(turns(spark, sf_dir).coalesce(1).select(_named(F.col("seq_id")).alias("name"), lines.alias("seq")), path)
+    return spark.read.format("fasta").schema("name string, seq string").option("splitBytes", 65536).load(path)
+
+
 @query(with_sa(SQL_TURNS, SQL_KMERS))
 def index_save_load(spark, sf_dir):
     path = new_path(spark, "index")
