@@ -217,3 +217,47 @@ def test_merge_model_equals_the_library_on_the_unchanged_file(spark, sf, docs_of
         assert [r["ids"] for r in got] == want
     rows = pieces.digests(merges.encode(docs_of(texts), path), path).orderBy("doc_id").collect()
     assert [(r["n_tokens"], r["ids_crc32"], r["decoded_crc32"]) for r in rows] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes()), zlib.crc32(t.replace("▁", " ").encode())) for t, x in zip(texts, want)]
+
+
+def plain_viterbi(own, text):
+    """Ids of the path of greatest total score over a whole text, all pieces tried at each place."""
+    whole = own.normalize(text)
+    best, back = [0.0], [None]
+    for b in range(1, len(whole) + 1):
+        options = [(best[a] + own.table[whole[a:b]][0], a, [own.table[whole[a:b]][1]]) for a in range(max(0, b - own.width), b) if whole[a:b] in own.table]
+        if whole[b - 1] not in own.table:
+            options.append((best[b - 1] + own.unknown, b - 1, own.spelt(whole[b - 1])))
+        top = max(options, key=lambda x: (x[0], -x[1]))
+        best.append(top[0])
+        back.append(top[1:])
+    out, b = [], len(whole)
+    while b:
+        b, ids = back[b]
+        out.append(ids)
+    return [i for ids in reversed(out) for i in ids]
+
+
+def test_op2_gives_the_scan_beside_the_merges(spark, sf, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path(op2.MODEL)
+    library, own = SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "c"), (7, None), (7, ""), (7, "x ▁y"), (7, "x ▁y")], "doc_id long, text string")
+    docs.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    want = []
+    for d, t in docs.unionByName(more).collect():
+        merged, scanned = library.encode(t or ""), plain_viterbi(own, t)
+        want.append((d if d is not None else -1, len(merged), crc(merged), zlib.crc32((t or "").replace("▁", " ").encode()), len(scanned), crc(scanned)))
+    columns = ["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "scan_tokens", "scan_crc32"]
+    got = [(-1 if r[0] is None else r[0], *r[1:]) for r in op2.query(spark, str(tmp_path)).select(*columns).collect()]
+    assert sorted(got) == sorted(want)
+    # Cut into chunks the scan finds a path of the same length in pieces or, of equal scores, another one; texts decode alike.
+    cut = op2.both(spark.read.parquet(str(tmp_path / "documents.parquet")), path, giant=300, chunk=97)
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in cut.select(*columns[:4]).collect()) == sorted(w[:4] for w in want)
+    assert cut.where("scan_tokens is null").count() == 0
+
+
+def test_op2_of_no_documents(docs_of):
+    assert op2.both(docs_of([]), public_tokenizers.path(op2.MODEL)).count() == 0
