@@ -12,8 +12,6 @@ Unigram models go by the scan in sufloom.llm.pieces; other types are an error. D
 from __future__ import annotations
 
 import heapq
-import re
-from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -74,15 +72,7 @@ class Merges:
         self.table, self.spelt, self.normalize, self.words_apart = own.table, own.spelt, own.normalize, own.words_apart
         if len(own.byte_id) < 256:
             raise ValueError(f"{path}: BPE models without byte pieces are not supported")
-        longer = [p for p in self.table if len(p) > 1]
-        self.joins = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
-        alone = re.escape("".join(c for c in map(chr, range(128)) if not any(c in j for j in self.joins)))
-        marks = set(punctuation)  # closed under what pieces have before them; the rest never joins one, and parts end there
-        while more := {j[0] for j in self.joins if j[1] in marks} - marks - {MARK}:
-            marks |= more
-        marks = re.escape("".join(sorted(marks))) if not any(c.isascii() and c.isalpha() for c in marks) else ""
-        words = (f"{MARK}*[{marks}]*[^{MARK}{alone}{marks}]+|{MARK}*[{marks}]+" if marks else f"{MARK}*[^{MARK}{alone}]+") + f"|{MARK}+"
-        self._parts = re.compile(f"{f'[{alone}]|' if alone else ''}{words}" if self.words_apart else "(?s:.+)")
+        self.joins, self._parts = own.joins, own.parts
         self._merged = Remembered(lambda word: np.array(self.merge(word), "<i4").tobytes(), most)
 
     def merge(self, word: str) -> list[int]:
@@ -160,9 +150,7 @@ def merges_of(path: str) -> Merges:
 
 
 def merged_lists(own: Merges, texts: list[str]) -> pa.Array:
-    ids = [own.merged(t) for t in texts]
-    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    return pieces.packed_lists([own.merged(t) for t in texts])
 
 
 def encode_merges(docs: DataFrame, model: str, giant: int, chunk: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Encoding follows the unigram rules over a model file's pieces and scores, whatever its type: the best path over all pieces, an unknown
 character at the least score minus 10 and then as its bytes. In a model whose pieces
-hold the space mark only at their start, paths restart at each word, so a word is solved once and remembered. A merge
+hold the space mark only at their start, paths restart at each word, and in it between characters that stand side by side in
+no piece; a part between such places is solved once and remembered. A merge
 (BPE) file's own segmentation is another one: see sufloom.llm.merges, whose encode() follows the file's type.
 
 A document of more than `giant` characters is split, in one pass, into chunks of `chunk` characters (to the next word start
@@ -22,6 +23,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +62,28 @@ class Pieces:
         self.width = max(map(len, self.table))
         self.unk = model.unk_id()
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.table)
-        self._known = Remembered(lambda word: self.path_between(word, 0, len(word)), most // 2)  # an entry takes about twice the estimate
+        self.heads = {p[:i]: None for p in self.table for i in range(1, len(p))} | self.table  # beginnings of pieces, too
+        longer = [p for p in self.table if len(p) > 1]
+        self.joins = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
+        self.parts = self._cuts() if self.words_apart else re.compile("(?s:.+)")
+        self._known = Remembered(self._solved, most // 2)  # an entry takes about twice the estimate
         self.merges = None  # of sufloom.llm.merges
 
+    def _cuts(self) -> re.Pattern:
+        """Parts of a text between whose characters no piece stands, so that all paths meet there: characters that join
+        none, and the places where a mark follows another character."""
+        alone = re.escape("".join(c for c in map(chr, range(128)) if not any(c in j for j in self.joins)))
+        marks = set(punctuation)  # closed under what pieces have before them; the rest never joins one, and parts end there
+        while more := {j[0] for j in self.joins if j[1] in marks} - marks - {MARK}:
+            marks |= more
+        marks = re.escape("".join(sorted(marks))) if not any(c.isascii() and c.isalpha() for c in marks) else ""
+        words = (f"{MARK}*[{marks}]*[^{MARK}{alone}{marks}]+|{MARK}*[{marks}]+" if marks else f"{MARK}*[^{MARK}{alone}]+") + f"|{MARK}+"
+        return re.compile(f"{f'[{alone}]|' if alone else ''}{words}")
+
+    def _solved(self, part: str) -> tuple[float, bytes]:
+        total, ids = self.path_between(part, 0, len(part))
+        return total, np.array(ids, "<i4").tobytes()
+
     def normalize(self, text: str | None) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
@@ -72,24 +93,25 @@ class Pieces:
         if not starts:
             return self.path_between(text, start, end)[1]
         out = list(self.path_between(text, start, starts[0])[1])
-        for word in _WORD.findall(text[starts[0] : starts[-1]]):
-            out += self.word(word)[1]
+        out += np.frombuffer(self.solved(text[starts[0] : starts[-1]]), "<i4").tolist()
         return out + self.path_between(text, starts[-1], end)[1]
 
-    def word(self, word: str) -> tuple[float, list[int]]:
-        """Score and ids of a word's best path, remembered."""
-        return self._known[word]
+    def solved(self, text: str) -> bytes:
+        """Ids of the best path over whole words, as little-endian 32-bit integers, part by part, each remembered."""
+        return b"".join([x[1] for x in map(self._known.__getitem__, self.parts.findall(text))])
 
     def path_between(self, text: str, start: int, end: int) -> tuple[float, list[int]]:
         """Score and ids of the best path over text[start:end]; of equal paths, the one whose last pieces are longest."""
         n = end - start
         best, last = [0.0] + [NEVER] * n, [0] * (n + 1)
         kind = [-1] * (n + 1)
-        get, width, unknown = self.table.get, self.width, self.unknown
+        get, width, unknown = self.heads.get, self.width, self.unknown
         for a in range(n):
             base, single = best[a], False
             for b in range(a + 1, min(n, a + width) + 1):
-                found = get(text[start + a : start + b])
+                found = get(text[start + a : start + b], ())
+                if found == ():  # no piece begins so
+                    break
                 if found:
                     single |= b == a + 1
                     s = base + found[0]
@@ -108,14 +130,13 @@ class Pieces:
     def spelt(self, char: str) -> list[int]:
         return [self.byte_id.get(x, self.unk) for x in char.encode()] if self.byte_id else [self.unk]
 
-    def encode(self, text: str | None) -> list[int]:
+    def encoded(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
         whole = self.normalize(text)
-        if not self.words_apart:
-            return self.ids_between(whole, 0, len(whole))
-        out: list[int] = []
-        for word in _WORD.findall(whole):
-            out += self.word(word)[1]
-        return out
+        return self.solved(whole) if self.words_apart else np.array(self.ids_between(whole, 0, len(whole)), "<i4").tobytes()
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encoded(text), "<i4").tolist()
 
     def transfer(self, text: str, n: int) -> np.ndarray:
         """Transfer matrix of the chunk text[:n]; text goes on for up to width - 1 characters beyond it. Where words are
@@ -125,7 +146,7 @@ class Pieces:
             return self.between(text, n)
         first, last = starts[0], starts[-1]
         head = self.between(text[:first], first)[:, 0]
-        middle = sum(self.word(w)[0] for w in _WORD.findall(text[first:last]))
+        middle = sum(self._known[w][0] for w in self.parts.findall(text[first:last]))
         return head[:, None] + middle + self.between(text[last:], n - last)[0][None, :]
 
     def between(self, text: str, n: int) -> np.ndarray:
@@ -167,7 +188,6 @@ class Pieces:
 
 
 _START = re.compile(f"(?<=[^{MARK}]){MARK}")
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def pieces_of(path: str) -> Pieces:
@@ -205,6 +225,11 @@ def boundary_states(matrices: list[np.ndarray], span: int = 32) -> list[int]:
 IDS = "doc_id long, ids array<int>"
 
 
+def packed_lists(rows: list[bytes]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+
+
 def id_lists(rows: list[list[int]]) -> pa.Array:
     lens = np.array([len(r) for r in rows], np.int64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(np.array([i for r in rows for i in r], np.int32)))
@@ -218,7 +243,7 @@ def encode(docs: DataFrame, model: str, giant: int = 32_768, chunk: int = 8_192)
     def run(batches):
         own = pieces_of(model)
         for part in slices(batches, 500):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), id_lists([own.encode(t) for t in part.column("text").to_pylist()])], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed_lists([own.encoded(t) for t in part.column("text").to_pylist()])], names=["doc_id", "ids"])
 
     def chunks(batches):
         own = pieces_of(model)
