@@ -68,6 +68,7 @@ class Pieces:
         self.parts = self._cuts() if self.words_apart else re.compile("(?s:.+)")
         self._known = Remembered(self._solved, most // 2)  # an entry takes about twice the estimate
         self.merges = None  # of sufloom.llm.merges
+        self.both = None  # of sufloom.llm.segments
 
     def _cuts(self) -> re.Pattern:
         """Parts of a text between whose characters no piece stands, so that all paths meet there: characters that join
@@ -183,7 +184,8 @@ class Pieces:
             at = end
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join([self.bytes_of[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        some = (ids[at : at + 65_536].tolist() for at in range(0, len(ids), 65_536))
+        raw = b"".join([b"".join([self.bytes_of[i] for i in x]) for x in some]).decode("utf-8", "replace")
         return raw[1:] if raw[:1] == " " else raw
 
 
