@@ -3,9 +3,10 @@
 patterns are rows (pattern_id, pattern). A suffix matches if it begins with the pattern: an equi-join on as many first
 characters as a pattern has, for each length that occurs, so a suffix is never compared with every pattern; batches too
 large to be broadcast are merged with the sorted array (merge.short_matches).
-Patterns with other characters than A, C, G, T match nothing here. A pattern longer than the indexed prefix goes on by
-equi-joins with the array: its next characters must stand at the match's position + `indexed`, + 2 * `indexed`, ...;
-for that, p must hold `indexed` characters of each suffix, or all that it has. An empty pattern matches every suffix, the
+Patterns with other characters than A, C, G, T match nothing here. A pattern longer than the indexed prefix is cut into parts
+of `indexed` characters, at 0, `indexed`, 2 * `indexed`, ... and at its end, all looked up in one pass over the array: it
+matches where the array has all of them at their distances. So only rows that begin with a part are shuffled, and the array
+is never a side of a join with matches; for that, p must hold `indexed` characters of each suffix, or all that it has. An empty pattern matches every suffix, the
 empty one too. Lower case is the caller's to fold (upper_patterns).
 """
 
@@ -31,14 +32,20 @@ def matches(patterns: DataFrame, sa: DataFrame, indexed: int = 32) -> DataFrame:
     longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
     if longest <= indexed:
         return _short(patterns, sa, indexed)
+    # The parts of all long patterns are looked up in one pass over the array; a pattern is where all of its parts are.
     long = patterns.where(F.length("pattern") > indexed)
-    hits = _short(long.select("pattern_id", "pattern", F.substring("pattern", 1, indexed).alias("head")), sa, indexed, "head")
-    for at in range(indexed, longest, indexed):
-        ended = hits.where(F.length("pattern") <= at)
-        part = F.substring(F.col("pattern"), F.lit(at + 1), F.lit(indexed))
-        ahead = hits.where(F.length("pattern") > at).withColumns({"part": part, "there": F.col("pos") + at})
-        there = sa.select("seq_id", F.col("pos").alias("there"), "p")
-        hits = ended.unionByName(ahead.join(there, ["seq_id", "there"]).where(F.startswith("p", "part")).drop("part", "there", "p"))
+    own = materialize(long.select("pattern").distinct().withColumn("_q", F.monotonically_increasing_id()), "long")
+    last = F.length("pattern") - indexed
+    offsets = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(indexed)), F.array(last)))
+    parts = own.select("_q", "pattern", F.size(offsets).alias("_parts"), F.explode(offsets).alias("_at"))
+    parts = parts.select("_q", "_parts", "_at", F.substring(F.col("pattern"), F.col("_at") + 1, F.lit(indexed)).alias("_part"))
+    small = (parts.agg(F.sum(F.lit(indexed + 64))).first()[0] or 0) + (long.agg(F.sum(F.length("pattern") + 64)).first()[0] or 0) <= SMALL
+    held = F.broadcast if small else lambda table: table
+    keys = parts.select("_part").distinct()
+    found = _short(keys.select(F.col("_part").alias("pattern_id"), F.col("_part").alias("pattern")), sa, indexed)
+    found = found.select(F.col("pattern").alias("_part"), "seq_id", "r", "pos").join(held(parts), "_part")
+    whole = found.groupBy("_q", "seq_id", (F.col("pos") - F.col("_at")).alias("pos")).agg(F.count("*").alias("_n"), F.first("_parts").alias("_parts"), F.max(F.when(F.col("_at") == 0, F.col("r"))).alias("r")).where("_n = _parts")
+    hits = whole.join(held(own), "_q").join(held(long), "pattern").select("pattern_id", "pattern", "seq_id", "r", "pos")
     return _short(patterns.where(F.length("pattern") <= indexed), sa, indexed).unionByName(hits)
 
 
