@@ -161,3 +161,21 @@ def located(found: DataFrame, transforms: DataFrame) -> DataFrame:
 
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     return _met(found.where("beg < end").select("pattern_id", "seq_id", "beg", "end"), transforms, answer, f"pattern_id {kind}, seq_id long, r long, pos long", sampled=True)
+
+
+def inverse(transforms: DataFrame) -> DataFrame:
+    """seq_id, text of each transform (seq_id, bwt), from its last character to its first, by steps in the task that holds it."""
+
+    def run(batches):
+        for batch in batches:
+            for seq_id, bwt in zip(batch.column("seq_id").to_pylist(), batch.column("bwt")):
+                data = np.frombuffer(bwt.as_py().encode(), np.uint8)
+                to = np.empty(len(data), np.int64)
+                to[np.argsort(np.where(data == ord("$"), 0, data), kind="stable")] = np.arange(len(data))
+                steps, met, row = to.tolist(), [0] * (len(data) - 1), 0
+                for i in range(len(data) - 2, -1, -1):
+                    met[i] = row
+                    row = steps[row]
+                yield pa.RecordBatch.from_arrays([pa.array([seq_id]), pa.array([data[np.array(met, np.int64)].tobytes().decode()])], names=["seq_id", "text"])
+
+    return transforms.select("seq_id", "bwt").mapInArrow(run, "seq_id long, text string")

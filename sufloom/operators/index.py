@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sufloom.sources.scratch import materialize
+from sufloom.sources.scratch import discard, materialize
 
 LETTERS = ("A", "C", "G", "T")
 
@@ -106,7 +106,9 @@ def invert(sa: DataFrame, max_rounds: int = 40) -> DataFrame:
             return now.where("bwt is not null").select("seq_id", (F.col("steps") - 1).alias("pos"), F.col("bwt").alias("c"))
         jump = now.select("seq_id", F.col("r").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
         joined = now.join(jump, ["seq_id", "to"], "left")
+        old = now
         now = materialize(joined.select("seq_id", "r", "bwt", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "inverse")
+        discard(old)
     raise RuntimeError("the inversion did not end")
 
 
