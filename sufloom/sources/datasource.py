@@ -2,7 +2,8 @@
 df.write.format("patterns"), after register(spark).
 
 Reads are planned by byte offsets: a file of any size is cut into splits of `splitBytes` (option, 64 MB where not given), each
-read by a task of its own, which holds one record or one run of patterns at a time. A schema given to the reader names the
+read by a task of its own, which holds one record or one run of patterns at a time. A pattern read has at most MOST splits and
+one more for each file, however small splitBytes is: splits are as large as that takes, as a task costs more than a few KB. A schema given to the reader names the
 columns that are made; the others aren't. Files are opened through pyarrow's file systems (local, hdfs, s3, gs, abfs), by which
 driver and executors must reach them; where only Spark's own readers do, sufloom.sources.files has readers for the same files.
 
@@ -25,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 SPLIT = 64 << 20
+MOST = 512  # splits of a read; where splitBytes would give more, they are larger
 HEADER = struct.Struct("<II")  # length of a pattern, number of patterns
 
 
@@ -77,8 +79,9 @@ class PatternReader(_Reader):
 
     def partitions(self) -> list[Split]:
         system, _ = file_system(self.path)
-        out = []
-        for file, size in files_at(self.path):
+        out, found = [], files_at(self.path)
+        least = max(self.bytes, sum(size for _, size in found) // MOST)
+        for file, size in found:
             with system.open_input_file(file) as f:
                 head = f.read(HEADER.size)
             if len(head) < HEADER.size:
@@ -87,7 +90,7 @@ class PatternReader(_Reader):
             if size < HEADER.size + length * number:
                 raise ValueError(f"{file}: {size} bytes, but {number} patterns of {length} characters")
             if length:
-                each = max(1, self.bytes // length)
+                each = max(1, least // length)
                 out += [Split(file, i, min(number, i + each), length) for i in range(0, number, each)]
         return out
 

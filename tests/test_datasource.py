@@ -85,3 +85,16 @@ def test_fasta_gzip_names_and_none(sources, tmp_path):
     assert sorted(r["name"] for r in read.schema("name string").load(str(tmp_path)).collect()) == ["x", "z"]
     (tmp_path / "none").mkdir()
     assert sources.read.format("fasta").load(str(tmp_path / "none")).count() == 0
+
+
+def test_small_splits_of_much_data_are_no_task_each(sources, tmp_path, monkeypatch):
+    from pyspark.sql.types import StringType, StructType
+
+    words = ["".join(random.Random(i).choices("ACGT", k=12)) for i in range(5000)]
+    for i in range(5):
+        batch(tmp_path / f"{i}.bin", 12, words[i * 1000 : i * 1000 + 1000])
+    monkeypatch.setattr(datasource, "MOST", 20)
+    own = datasource.PatternReader(StructType().add("pattern", StringType()), {"path": str(tmp_path), "splitBytes": "16"})
+    splits = own.partitions()
+    assert 5 <= len(splits) <= 20 + 5
+    assert [x for s in splits for b in own.read(s) for x in b.column("pattern").to_pylist()] == words
