@@ -45,6 +45,19 @@ def test_packed_order_of_many_texts_over_partitions_that_cut_groups_of_ties(spar
         assert len(counts) >= 5 and counts[-1] < counts[1]
 
 
+@pytest.mark.parametrize("k", [33, 63, 64, 65, 256, None])
+def test_the_first_sort_compares_64_characters(spark, monkeypatch, k):
+    """Few suffixes go on to the refinement where most tie on 32 characters."""
+    monkeypatch.setattr(packed, "ROWS_EACH", 100)
+    own = random.Random(9)
+    text = "".join("A" * 33 + own.choice("CGT") + own.choice("ACGT") * 3 + "".join(own.choices("ACGT", k=20)) for _ in range(30)) + "A" * 40
+    counts = []
+    found = packed.ordered(packed.blocks_of(frame(spark, {0: text})), k, True, counts)
+    assert [r["pos"] for r in found.orderBy("r").collect()] == naive(text, k)
+    tied = [i for i in range(len(text)) if sum(text.startswith(text[i : i + 32], j) for j in range(len(text) - 31)) > 1]
+    assert len(tied) > 50 and counts[1:] in ([], [0])
+
+
 def test_one_text_and_what_is_no_nucleotide(spark):
     blocks = packed.blocks_of(frame(spark, {0: TEXTS[3]}))
     assert [r["pos"] for r in packed.ordered(blocks, None).orderBy("r").collect()] == naive(TEXTS[3], None)
