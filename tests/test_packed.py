@@ -58,6 +58,18 @@ def test_the_first_sort_compares_64_characters(spark, monkeypatch, k):
     assert len(tied) > 50 and counts[1:] in ([], [0])
 
 
+def test_rounds_of_doubling_leave_no_asked_ranks_on_disk(spark):
+    from pathlib import Path
+
+    from sufloom.sources.scratch import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before, counts = len(list(folder.glob("ahead-*"))), []
+    found = packed.ordered(packed.blocks_of(frame(spark, {0: TEXTS[3] + TEXTS[1]})), None, True, counts)
+    assert len(counts) > 2 and len(list(folder.glob("ahead-*"))) == before
+    assert [r["pos"] for r in found.orderBy("r").collect()] == naive(TEXTS[3] + TEXTS[1], None)
+
+
 def test_one_text_and_what_is_no_nucleotide(spark):
     blocks = packed.blocks_of(frame(spark, {0: TEXTS[3]}))
     assert [r["pos"] for r in packed.ordered(blocks, None).orderBy("r").collect()] == naive(TEXTS[3], None)
